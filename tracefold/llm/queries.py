@@ -20,6 +20,7 @@ def _over(name: str, module: str, function: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
@@ -44,4 +45,30 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+
+
+def _secret_sql() -> str:
+    """All rules scanned over every text, with the places of the matches summed from the texts between them."""
+    from tracefold.llm.secrets import BASE_RULES, RULES
+
+    parts = []
+    for i, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{pattern}') AS hits, regexp_split_to_array(t, '{pattern}') AS gaps, "
+                     f"list_transform(regexp_extract_all(t, '{pattern}'), lambda h: length(regexp_extract(h, '{pattern}', {r.value_group}))) AS widths FROM d WHERE regexp_matches(t, '{pattern}')")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (SELECT doc_id, ord, kind, length(hits[i]) AS n,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s0
+      FROM i WHERE widths[i] >= least),
+p AS (SELECT doc_id, ord, kind, s0, concat_ws(':', kind, s0::BIGINT::VARCHAR, (s0 + n)::BIGINT::VARCHAR) AS p FROM s),
+g AS (SELECT doc_id, {counts}, string_agg(p, ',' ORDER BY s0, ord) FILTER (WHERE ord < {len(BASE_RULES)}) AS base, string_agg(p, ',' ORDER BY s0, ord) AS spans FROM p GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op10_line_dedup": LINE_DEDUP_SQL}
