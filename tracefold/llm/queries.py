@@ -22,6 +22,7 @@ def _over(name: str, module: str, function: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
     "op3_pii": _over("documents", "pii", "pii_digest"),
+    "op5_near_dup": _over("documents", "neardup", "near_dup_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
