@@ -19,10 +19,17 @@ def _over(name: str, module: str, function: str) -> Query:
     return run
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
     "op3_pii": _over("documents", "pii", "pii_digest"),
     "op5_near_dup": _over("documents", "neardup", "near_dup_digest"),
+    "op6_benchmark_leaks": _leaks,
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
@@ -49,6 +56,22 @@ FROM m GROUP BY doc_id
 
 
 
+LEAKS_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM t),
+g AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM g WHERE side = 'b' GROUP BY id),
+c AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g d JOIN g b ON d.g = b.g AND d.side = 'd' AND b.side = 'b' GROUP BY ALL)
+SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles FROM c JOIN n ON c.item_id = n.id WHERE 100 * shared >= 75 * n
+"""
+
+
 def _secret_sql() -> str:
     """All rules scanned over every text, with the places of the matches summed from the texts between them."""
     from tracefold.llm.secrets import BASE_RULES, RULES
@@ -73,4 +96,4 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
-SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op10_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
