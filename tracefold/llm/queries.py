@@ -28,8 +28,10 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
     "op3_pii": _over("documents", "pii", "pii_digest"),
+    "op4_packing": _over("documents", "packing", "pack_documents"),
     "op5_near_dup": _over("documents", "neardup", "near_dup_digest"),
     "op6_benchmark_leaks": _leaks,
+    "op7_token_files": _over("documents", "tokenfiles", "token_file_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
