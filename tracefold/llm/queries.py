@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_dup": _over("documents", "neardup", "near_dup_digest"),
     "op6_benchmark_leaks": _leaks,
     "op7_token_files": _over("documents", "tokenfiles", "token_file_digest"),
+    "op8_language_id": _over("documents", "langid", "language_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
