@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.llm import gru
 from tracefold.llm.shingles import blocks
@@ -112,7 +113,7 @@ def identify(docs: DataFrame, model: tuple[list[str], gru.Params] | None, text_c
     """
     docs = docs.drop("lang_pred", "score")
     model = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predict(model, docs.columns.index(text_col)), schema)
 
 
