@@ -27,6 +27,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
+    "op2_top_k": _over("embeddings", "topk", "top_k_digest"),
     "op3_pii": _over("documents", "pii", "pii_digest"),
     "op4_packing": _over("documents", "packing", "pack_documents"),
     "op5_near_dup": _over("documents", "neardup", "near_dup_digest"),
@@ -59,6 +60,14 @@ FROM m GROUP BY doc_id
 
 
 
+TOP_K_SQL = """
+WITH d AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (x.embedding[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS distance
+  FROM embeddings q, embeddings x WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
 LEAKS_SQL = r"""
 WITH t AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
@@ -99,4 +108,4 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
-SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op2_top_k": TOP_K_SQL, "op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
