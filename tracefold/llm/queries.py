@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op6_benchmark_leaks": _leaks,
     "op7_token_files": _over("documents", "tokenfiles", "token_file_digest"),
     "op8_language_id": _over("documents", "langid", "language_digest"),
+    "op9_token_counts": _over("documents", "tokencount", "token_count_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
 }
 
