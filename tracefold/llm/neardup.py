@@ -33,7 +33,7 @@ LINK = 75
 #: In step 3 members are compared by sketches, a byte for each signature value: first the values that the bands are made
 #: of, then those of SKETCHED more permutations. Pairs that agree on a lesser share are not compared on full sets. At
 #: similarity 0.75 the shares have standard deviations of 0.031 and 0.0125: a pair falls below either with a probability
-#: under 0.00005.
+#: under 0.00005. Low halves of the band keys tell which bucket of a pair is the first that it shares.
 LEAST_AGREE, LEAST_AGREE_MORE = 0.62, 0.70
 SKETCHED = 500
 #: Members of a bucket that are compared at once in step 3.
@@ -101,7 +101,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in blocks(rows, 1):
             s = shingles(words([r[1] for r in group]))
             sets = [np.unique(s.hashes[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
-            sketches = [sketch(minmax(u)) + sketch(minmax(u, MORE)) for u in sets]
+            signatures = [minmax(u) for u in sets]
+            keys = band_keys(np.stack(signatures)).astype(np.uint32)
+            sketches = [sketch(x) + sketch(minmax(u, MORE)) + k.tobytes() for x, u, k in zip(signatures, sets, keys, strict=True)]
             yield pa.RecordBatch.from_pydict({"node": [r[0] for r in group], "shingles": [u.tobytes() for u in sets], "sketch": sketches}, schema=SETS)
 
 
@@ -132,27 +134,31 @@ def _close(g: pd.DataFrame) -> pd.DataFrame:
     y = np.frombuffer(b"".join(o.sketch), dtype=np.uint8).reshape(len(o), -1)
     mn, on = m.n.to_numpy(), o.n.to_numpy()
     mc, oc, mr, outs = m.comp.to_numpy(), o.comp.to_numpy(), m.rep.to_numpy(), o.rep.to_numpy()
-    first = 2 * PERMUTATIONS
-    bands, more = np.ascontiguousarray(x[:, :first]), np.ascontiguousarray(x[:, first:])
+    first, band = 2 * PERMUTATIONS, int(g.band.iloc[0])
+    last = first + 2 * SKETCHED
+    bands, more, mk = (np.ascontiguousarray(x[:, a:b]) for a, b in ((0, first), (first, last), (last, None)))
+    mk, ok = mk.view(np.uint32), np.ascontiguousarray(y[:, last:]).view(np.uint32)
     found = []
     for i in range(len(o)):
         at = np.flatnonzero((mc != oc[i]) & (100 * np.minimum(mn, on[i]) >= LINK * np.maximum(mn, on[i])))
+        # a pair belongs to the first bucket that it shares, so that it is found once
+        at = at[(mk[at] == ok[i]).argmax(axis=1) == band]
         at = at[np.count_nonzero(bands[at] == y[i, :first], axis=1) >= LEAST_AGREE * first]
-        at = at[np.count_nonzero(more[at] == y[i, first:], axis=1) >= LEAST_AGREE_MORE * 2 * SKETCHED]
+        at = at[np.count_nonzero(more[at] == y[i, first:last], axis=1) >= LEAST_AGREE_MORE * 2 * SKETCHED]
         found += [(min(outs[i], mr[k]), max(outs[i], mr[k])) for k in at]
     return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64") if found else none
 
 
 def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) of step 3."""
-    with_comp = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    with_comp = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = with_comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where(F.col("all") > F.col("most"))
     # blocks of the members and of the outsiders of a bucket
     open_ = open_.select("key", "main", F.ceil(F.col("all") / CHUNK).cast("int").alias("mi"), F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int").alias("oi"))
     rows = with_comp.join(open_, "key").join(sketches, "rep")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
-    cols = ["key", "i", "j", "side", "rep", "comp", "n", "sketch"]
+    cols = ["key", "band", "i", "j", "side", "rep", "comp", "n", "sketch"]
     inner = rows.withColumns({"side": F.lit(0), "i": block("mi"), "j": F.explode(F.sequence(F.lit(0), F.col("oi") - 1))}).select(cols)
     outer = rows.where(F.col("comp") != F.col("main")).withColumns({"side": F.lit(1), "j": block("oi"), "i": F.explode(F.sequence(F.lit(0), F.col("mi") - 1))}).select(cols)
     return inner.unionByName(outer).groupBy("key", "i", "j").applyInPandas(_close, "a long, b long").distinct()
@@ -176,9 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known.join(classes.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi").dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "bands"), "reps"
     )
 
-    keyed = reps.select(F.explode("bands").alias("key"), "rep")
+    keyed = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     buckets = materialize(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").drop("last"), "buckets")
-    members = materialize(keyed.join(buckets, "key").select("key", "hub", "rep"), "members")
+    members = materialize(keyed.join(buckets, "key").select("key", "band", "hub", "rep"), "members")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     sets = materialize(source.join(wanted, "doc", "left_semi").dropDuplicates(["doc", "text"]).mapInArrow(_sets, "node long, shingles binary, sketch binary"), "sets")
     sketches = sets.select(F.col("node").alias("rep"), (F.length("shingles") / 8).cast("long").alias("n"), "sketch")
