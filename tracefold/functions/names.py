@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that a name key drops at its end.
 LEGAL_WORDS = ("pty", "ltd", "limited", "proprietary", "inc", "incorporated", "llc", "plc", "corp", "corporation", "co", "gmbh", "pte")
@@ -19,7 +20,7 @@ GENERIC_WORDS = (
 SIMILAR, SIMILAR_LENGTH = 0.84, 5
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks: the one step that Spark SQL has no function for."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "̀" <= c <= "ͯ"))

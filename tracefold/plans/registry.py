@@ -5,32 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracefold.session import table
+from tracefold.plans.base import QUERIES, SQL
+from tracefold.plans import catalog, community, evidence, incremental, pages, quality, relations, resolution  # noqa: F401, E402  each registers its queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL where there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-SELECT n.n_name AS value, count(*)::BIGINT AS count FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE c.c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY n.n_name ORDER BY count DESC, value LIMIT 8
-""")
-def facet_city_top8(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    n = table(spark, d, "nation")
-    counts = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), "value").limit(8)
+Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["QUERIES", "SQL", "Query"]
