@@ -14,10 +14,7 @@ LOCAL_SHARED = "/tmp/tracefold-shared"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, set only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        path = path or LOCAL_SHARED
-    return path.rstrip("/")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,7 +28,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch(spark, name)
     w = df.write.mode("overwrite")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(c: Column) -> Column:
