@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,6 +81,19 @@ def dice(a: Column, b: Column) -> Column:
     return 2.0 * shared / (F.length(a) + F.length(b) - 2)
 
 
+@F.pandas_udf(T.DoubleType())
+def dice_of_many(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`dice` for many pairs: the counting of repeats is quicker here than in nested array functions."""
+
+    def one(x: str | None, y: str | None) -> float:
+        if x is None or y is None or len(x) + len(y) <= 2:
+            return 0.0
+        gx, gy = Counter(map(str.__add__, x, x[1:])), Counter(map(str.__add__, y, y[1:]))
+        return 2 * sum((gx & gy).values()) / (len(x) + len(y) - 2)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 for equal keys, else the share of characters that stay under the fewest edits, or Dice of two keys of six or more if larger."""
     edit = 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))

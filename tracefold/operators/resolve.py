@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.functions.names import SIMILAR, SIMILAR_LENGTH, similarity
+from tracefold.functions.names import SIMILAR, SIMILAR_LENGTH, dice_of_many
 
 #: Rows of an identity table: id, names array<struct<key, loose, kind>>, domains array<struct<domain, shared, via>>,
 #: abn array<string>, acn array<string>, city, state, address, people array<string>.
@@ -110,34 +110,40 @@ def _prefix(grams: DataFrame, often: DataFrame, i: str) -> DataFrame:
     return grams.join(often, "gram").withColumn("__o", order).where(F.col("__o") <= keep).select(i, f"{i}_size", "gram")
 
 
-def _best_name(a: Column, b: Column) -> Column:
-    """struct<weight, code, key, sim>: the strongest way in which two lists of names agree, null for none."""
-    none = F.lit(None).cast("struct<weight:double,code:string,key:string,sim:double>")
+def _name_relations(pairs_: DataFrame, leads: DataFrame, records: DataFrame) -> DataFrame:
+    """(lead_id, record_id, rel struct<weight, code, key, sim>): the strongest way in which the names of a pair agree.
 
-    def relation(x: Column, y: Column) -> Column:
-        short = F.when(F.length(x["key"]) <= F.length(y["key"]), x["key"]).otherwise(y["key"])
-        long = F.when(F.length(x["key"]) <= F.length(y["key"]), y["key"]).otherwise(x["key"])
-        kinds = F.array(x["kind"], y["kind"])
-        code = F.when(F.array_contains(kinds, "former"), "name_former").when(F.array_contains(kinds, "legal"), "name_legal").when(F.array_contains(kinds, "alias"), "name_alias").otherwise("name_exact")
-        weight = lambda c: F.element_at(F.create_map(*[F.lit(v) for kv in NAME_WEIGHTS.items() for v in kv]), c)
-        sim = similarity(x["key"], y["key"])
-        made = lambda w, c, k, s: F.struct(w.alias("weight"), c.alias("code"), k.alias("key"), s.alias("sim"))
-        return (
-            F.when(x["key"] == y["key"], made(weight(code), code, x["key"], F.lit(1.0)))
-            .when((x["loose"] != "") & (x["loose"] == y["loose"]), made(F.lit(NAME_WEIGHTS["name_loose"]), F.lit("name_loose"), x["key"], F.lit(0.0)))
-            .when((F.length(short) >= SIMILAR_LENGTH) & (sim >= SIMILAR), made(F.round(0.2 + 0.2 * (sim - SIMILAR) / (1 - SIMILAR), 2), F.lit("name_similar"), x["key"], sim))
-            .when((F.length(short) >= 4) & long.startswith(short) & (F.length(long) - F.length(short) >= 2), made(F.lit(0.2), F.lit("name_contained"), short, F.lit(0.0)))
-        )
-
-    every = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: relation(x, y))))
-    # the first of the heaviest
-    return F.aggregate(every, none, lambda best, r: F.when(r.isNotNull() & (best.isNull() | (r["weight"] > best["weight"])), r).otherwise(best))
+    Of equally strong ways the first in the order of the names counts; pairs whose names do not agree are left out.
+    """
+    side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.posexplode("names").alias(f"{p}_at", f"{p}_n")).select(f"{p}_id", f"{p}_at", *[F.col(f"{p}_n.{c}").alias(f"{p}_{c}") for c in ("key", "loose", "kind")])
+    j = pairs_.join(side(leads, "l").withColumnRenamed("l_id", "lead_id"), "lead_id").join(side(records, "r").withColumnRenamed("r_id", "record_id"), "record_id")
+    a, b = F.col("l_key"), F.col("r_key")
+    shorter, longer = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    j = j.withColumns({"short": shorter, "long": longer, "edit": 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), "dice": dice_of_many(a, b)})
+    sim = F.when(F.length("short") < 6, F.col("edit")).otherwise(F.greatest("edit", "dice"))
+    j = j.withColumn("sim", F.when((a == "") | (b == ""), 0.0).otherwise(sim))
+    kinds = F.array("l_kind", "r_kind")
+    code = F.when(F.array_contains(kinds, "former"), "name_former").when(F.array_contains(kinds, "legal"), "name_legal").when(F.array_contains(kinds, "alias"), "name_alias").otherwise("name_exact")
+    code = (
+        F.when(a == b, code)
+        .when((F.col("l_loose") != "") & (F.col("l_loose") == F.col("r_loose")), "name_loose")
+        .when((F.length("short") >= SIMILAR_LENGTH) & (F.col("sim") >= SIMILAR), "name_similar")
+        .when((F.length("short") >= 4) & F.col("long").startswith(F.col("short")) & (F.length("long") - F.length("short") >= 2), "name_contained")
+    )
+    j = j.withColumn("code", code).where("code IS NOT NULL")
+    weights = F.create_map(*[F.lit(v) for kv in NAME_WEIGHTS.items() for v in kv])
+    weight = F.when(F.col("code") == "name_similar", F.round(0.2 + 0.2 * (F.col("sim") - SIMILAR) / (1 - SIMILAR), 2)).otherwise(F.element_at(weights, F.col("code")))
+    key = F.when(F.col("code") == "name_contained", F.col("short")).otherwise(a)
+    rel = F.struct(weight.alias("weight"), F.col("code").alias("code"), key.alias("key"), F.col("sim").alias("sim"))
+    order = F.struct(weight.alias("w"), (-F.col("l_at")).alias("x"), (-F.col("r_at")).alias("y"))
+    return j.groupBy("lead_id", "record_id").agg(F.max_by(rel, order).alias("rel"))
 
 
 def compare(pairs_: DataFrame, leads: DataFrame, records: DataFrame) -> DataFrame:
     """(lead_id, record_id, outcome, score, name_code): what each proposed pair is, by the rules in their order."""
     side = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     j = pairs_.join(side(leads, "l").withColumnRenamed("l_id", "lead_id"), "lead_id").join(side(records, "r").withColumnRenamed("r_id", "record_id"), "record_id")
+    j = j.join(_name_relations(pairs_, leads, records), ["lead_id", "record_id"], "left")
     own = lambda p: F.filter(F.col(f"{p}_domains"), lambda d: ~d["shared"])
     both = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
     filled = lambda c: (F.size(f"l_{c}") > 0) & (F.size(f"r_{c}") > 0)
@@ -149,7 +155,6 @@ def compare(pairs_: DataFrame, leads: DataFrame, records: DataFrame) -> DataFram
             "id_conflict": (filled("abn") & (both("abn") == 0)) | (filled("acn") & (both("acn") == 0)),
             "host_hits": F.size(F.filter(met, on_shared)),
             "domain_hits": F.size(F.filter(met, lambda d: ~on_shared(d))),
-            "rel": _best_name(F.col("l_names"), F.col("r_names")),
             "same_city": F.coalesce(F.col("l_city") == F.col("r_city"), F.lit(False)),
             "same_state": F.coalesce(F.col("l_state") == F.col("r_state"), F.lit(False)),
             "same_address": F.coalesce(F.col("l_address") == F.col("r_address"), F.lit(False)),

@@ -17,13 +17,13 @@ def portfolio_by_supplier(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45),
+WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
 c AS (SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY shared DESC, other) AS rank FROM c)
 SELECT l_suppkey, other, shared::BIGINT AS shared, rank::INTEGER AS rank FROM r WHERE rank <= 6
 """)
 def co_supplier_related_top6(spark: SparkSession, d: str) -> DataFrame:
-    return R.related(table(spark, d, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_partkey")
+    return R.related(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("""
