@@ -80,3 +80,56 @@ def backoff_minutes(failures: Column, transient: Column | None = None, retry_aft
 def half_day_block(at: Column) -> Column:
     """The number of the twelve-hour block of a moment."""
     return F.floor(F.unix_timestamp(at) / 43200)
+
+
+def to_utc(local: Column, zone: Column) -> Column:
+    """The moment of a local time in a zone; a day alone is its first minute there."""
+    text = F.when(local.rlike(DAY), F.concat(local, F.lit("T00:00"))).otherwise(local)
+    return F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm")), zone)
+
+
+def event_span(starts: Column, ends: Column, zone: Column) -> Column:
+    """struct<from, to> in UTC: an end that is a day lasts until the day is over; without an end a day lasts one day."""
+    last = F.coalesce(ends, starts)
+    day_end = F.to_utc_timestamp(F.date_add(F.try_to_timestamp(F.when(last.rlike(DAY), last), F.lit("yyyy-MM-dd")), 1).cast("timestamp"), zone)
+    return F.struct(to_utc(starts, zone).alias("from"), F.when(last.rlike(DAY), day_end).otherwise(to_utc(last, zone)).alias("to"))
+
+
+#: Days after which a check is said to need another.
+RECHECK_DAYS = 60
+
+
+def verified_label(at: Column, as_of: Column, recheck_days: int = RECHECK_DAYS) -> Column:
+    """How long ago something was checked, in words; null if never."""
+    d = F.greatest(age_days(at, as_of), F.lit(0))
+    return (
+        F.when(at.isNull(), None)
+        .when(d > recheck_days, "Needs re-check")
+        .when(d == 0, "Verified today")
+        .when(d == 1, "Verified yesterday")
+        .when(d < 14, F.format_string("Verified %d days ago", d))
+        .otherwise(F.format_string("Verified %d weeks ago", F.floor(d / 7)))
+    )
+
+
+# The two daily windows of the refresh, in local time.
+SLOT_ZONE, SLOTS = "Australia/Melbourne", (("AM", 8, 12), ("PM", 20, 24))
+
+
+def slot(at: Column) -> Column:
+    """The window that a UTC moment lies in, as 'yyyy-MM-dd AM' of the local day; null outside both."""
+    local = F.from_utc_timestamp(at, SLOT_ZONE)
+    name = F.lit(None).cast("string")
+    for code, low, high in SLOTS:
+        name = F.when((F.hour(local) >= low) & (F.hour(local) < high), code).otherwise(name)
+    return F.when(name.isNotNull(), F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd"), name))
+
+
+#: Twelve-hour blocks after which every record has had its turn.
+ROTATION_BLOCKS = 14
+
+
+def rotation_bucket(key: Column) -> Column:
+    """FNV-1a of a text's code points, modulo ROTATION_BLOCKS: which block of the rotation is a record's own."""
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619) % 4294967296
+    return (F.aggregate(F.filter(F.split(key, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step) % ROTATION_BLOCKS).cast("int")
