@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,21 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch(spark, name)
     w = df.write.mode("overwrite")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI that driver and executors share."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned, once all that was made of them is written itself."""
+    for df in tables:
+        found, path = open_fs(df.scratch_path)
+        found.delete_dir(path)
 
 
 def lower_ascii(c: Column) -> Column:

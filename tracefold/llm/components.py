@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialize
+from tracefold.llm.common import discard, materialize
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,17 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = materialize(both(edges.where("a != b")).distinct(), "edges")
-    roots = left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    roots = materialize(left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "roots")
     while not left.isEmpty():
         up = materialize(left.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")), "up")
         for _ in range(2):
             over = up.select(F.col("a").alias("up"), F.col("up").alias("over"))
-            up = materialize(up.join(over, "up", "left").select("a", F.coalesce("over", "up").alias("up")), "up")
+            longer, up = up, materialize(up.join(over, "up", "left").select("a", F.coalesce("over", "up").alias("up")), "up")
+            discard(longer)
+        old = [roots, left, up]
         roots = materialize(roots.join(up.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
         ends = up.select(F.col("a").alias("b"), F.col("up").alias("b2"))
         moved = left.join(up, "a").drop("a").withColumnRenamed("up", "a").join(ends, "b").select("a", F.col("b2").alias("b"))
         left = materialize(moved.where("a != b").distinct(), "edges")
+        discard(*old)
     return roots

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import lower_ascii, materialize
+from tracefold.llm.common import discard, lower_ascii, materialize
 
 #: Characters that are stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -50,6 +50,7 @@ class Runs:
             for r in self.levels[level][1:]:
                 merged = merged.unionByName(r)
             run = sorted_run(merged, f"run-l{level + 1}")
+            discard(*self.levels[level])
             self.levels[level] = []
             level += 1
 
@@ -109,6 +110,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lost.append(materialize(lost_in(own, shared), f"lost-{i}"))
         if i < len(bounds):
             runs.add(sorted_run(state.where(~F.col("old")), f"run-{i}"))
+        discard(state)
+    discard(lines, *[r for level in runs.levels for r in level])
     out = lost[0]
     for x in lost[1:]:
         out = out.unionByName(x)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialize
+from tracefold.llm.common import discard, materialize
 from tracefold.llm.components import connected
 from tracefold.llm.shingles import blocks, mix, shingles, words
 
@@ -185,15 +185,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     buckets = materialize(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").drop("last"), "buckets")
     members = materialize(keyed.join(buckets, "key").select("key", "band", "hub", "rep"), "members")
+    discard(buckets, reps)
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     sets = materialize(source.join(wanted, "doc", "left_semi").dropDuplicates(["doc", "text"]).mapInArrow(_sets, "node long, shingles binary, sketch binary"), "sets")
     sketches = sets.select(F.col("node").alias("rep"), (F.length("shingles") / 8).cast("long").alias("n"), "sketch")
 
     first = materialize(verified(members.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets), "links")
     roots = connected(first)
-    second = materialize(verified(materialize(_rest(members, roots, sketches), "close"), sets), "links")
+    close = materialize(_rest(members, roots, sketches), "close")
+    second = materialize(verified(close, sets), "links")
+    discard(members, sets, close)
     if not second.isEmpty():
         roots = connected(first.unionByName(second))
+    discard(first, second)
 
     rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
     found = signed.select("doc", "n", "k1", "k2").join(rooted, ["k1", "k2", "n"], "left").select(

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import scratch
+from tracefold.llm.common import open_fs, scratch
 from tracefold.llm.shingles import blocks
 from tracefold.llm.tokens import encoder, tokenizer_path
 
@@ -43,11 +43,6 @@ SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 8_192
 
 
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI that driver and executors share."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _write(path: str, parts) -> None:
     """All parts under another name first, so that a task that dies leaves no half file."""
     f, p = open_fs(path)
