@@ -71,6 +71,10 @@ def phrase_signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Quotes of fewer than seven words that are sought at once, by scanning.
+SHORT_QUOTES = 1000
+
+
 @query("""
 WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark),
 t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)
@@ -87,7 +91,10 @@ def quote_found(spark: SparkSession, d: str) -> DataFrame:
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))
     heads = words.where(F.size("w") >= 5).select("doc_id", F.explode(runs).alias("head")).join(q.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
     long = heads.join(q.select("item_id", "q"), "item_id").join(t, "doc_id").where(F.contains("t", "q"))
-    short = t.join(F.broadcast(q.where("head IS NULL").select("item_id", "q")), F.contains("t", "q"))
+    few = q.where("head IS NULL").select("item_id", "q")
+    if few.limit(SHORT_QUOTES + 1).count() > SHORT_QUOTES:
+        raise ValueError(f"more than {SHORT_QUOTES} quotes of fewer than seven words; seek them in parts")
+    short = t.join(F.broadcast(few), F.contains("t", "q"))
     return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
