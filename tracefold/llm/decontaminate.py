@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracefold.llm.shingles import Words, blocks, shingles, words
+from tracefold.llm.shingles import Words, blocks, rows_of, shingles, words
 
 PERMUTATIONS = 32
 #: An item is found in a document that holds so many hundredths of its shingles.
@@ -143,7 +143,7 @@ def _pairs(index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         for batch in batches:
-            for group in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
+            for group in blocks(rows_of(batch, 2), 1):
                 rows = [(group[d][0], x.ids[i], n, len(x.sets[i])) for d, i, n in matches([g[1] for g in group], x)]
                 yield pa.RecordBatch.from_pylist([dict(zip(PAIRS.names, r, strict=True)) for r in rows], schema=PAIRS)
 
@@ -155,7 +155,7 @@ def _clean(index, text_at: int) -> Callable:
         x = index.value
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
-            for group in blocks(enumerate(batch.column(text_at).to_pylist()), 1):
+            for group in blocks(((i, t) for i, (t,) in enumerate(rows_of(batch.select([text_at]), 1))), 1):
                 for d, _, _ in matches([g[1] for g in group], x):
                     keep[group[d][0]] = False
             yield batch.filter(pa.array(keep))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefold.llm import gru
-from tracefold.llm.shingles import blocks
+from tracefold.llm.shingles import blocks, rows_of
 
 HIDDEN = 8
 WINDOW = 128
@@ -43,8 +43,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     n = known.count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(17)), F.lit(1_000_000))
-    some = known.where(draw < int(1_000_000 * min(1.0, SAMPLE / n)) + 1).where(F.col(text_col).rlike(r"\p{L}"))
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(17)), F.lit(10**15))
+    some = known.where(draw < int(10**15 * min(1.0, SAMPLE / n))).where(F.col(text_col).rlike(r"\p{L}"))
     room = F.greatest(F.length(text_col) - TRAIN_BYTES, F.lit(0)) + 1
     at = lambda k: (F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(k)), room.cast("long")) + 1).cast("int")
     parts = [F.substring(F.col(text_col), at(k), F.lit(TRAIN_BYTES)).alias(f"w{k}") for k in range(WINDOWS)]
@@ -91,9 +91,9 @@ def _predict(model, text_at: int):
         langs, params = model.value if model.value else ([], None)
         net = gru.Labeller(params) if params else None
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            known = [(i, t) for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
+            lang, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            texts = enumerate(t for (t,) in rows_of(batch.select([text_at]), 1))
+            known = ((i, t) for i, t in texts if net and t and any(map(str.isalpha, t)))
             for group in blocks(known, 1):
                 p = mean_probabilities(net, [t for _, t in group])
                 for (i, _), row in zip(group, p, strict=True):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import discard, materialize
 from tracefold.llm.components import connected
-from tracefold.llm.shingles import blocks, mix, shingles, words
+from tracefold.llm.shingles import blocks, mix, rows_of, shingles, words
 
 BANDS, ROWS = 40, 5
 PERMUTATIONS = BANDS * ROWS // 2
@@ -74,8 +74,7 @@ SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary()), ("sketch", pa
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        for group in blocks(rows, 1):
+        for group in blocks(rows_of(batch, 2), 1):
             s = shingles(words([r[1] for r in group]))
             out = {"doc": [], "n": [], "k1": [], "k2": [], "bands": []}
             sets = [np.unique(s.hashes[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
@@ -97,8 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        for group in blocks(rows, 1):
+        for group in blocks(rows_of(batch, 2), 1):
             s = shingles(words([r[1] for r in group]))
             sets = [np.unique(s.hashes[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
             signatures = [minmax(u) for u in sets]
@@ -111,7 +109,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+        for *_, x, y in rows_of(batch, 4):
             a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(bool(100 * both >= LINK * (len(a) + len(b) - both)))

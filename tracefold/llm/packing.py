@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import materialize
-from tracefold.llm.shingles import blocks
+from tracefold.llm.shingles import blocks, rows_of
 from tracefold.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -42,7 +42,7 @@ def _cut(path: str, end_id: int, capacity: int):
         enc = encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for group in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
+            for group in blocks(rows_of(batch, 2), 1):
                 rows = []
                 for (doc, _), ids in zip(group, enc.encode([g[1] for g in group]), strict=True):
                     ids += end

@@ -11,11 +11,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Words of a shingle.
 WORDS = 5
 #: Bytes of text hashed at once: it bounds the memory of a task.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _rng = np.random.default_rng(20240501)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -104,6 +105,13 @@ def shingles(w: Words, size: int = WORDS) -> Words:
     return Words(out, first)
 
 
+def rows_of(batch: pa.RecordBatch, columns: int) -> Iterator[tuple]:
+    """The rows of the first columns of a batch, a few at a time, so that a task holds few of them as Python values."""
+    for at in range(0, batch.num_rows, 200):
+        part = batch.slice(at, 200)
+        yield from zip(*[part.column(i).to_pylist() for i in range(columns)], strict=True)
+
+
 def blocks(rows: Iterable[tuple], text_at: int) -> Iterator[list[tuple]]:
     """Rows in groups of about BLOCK characters; a longer text makes a group of its own."""
     group, size = [], 0

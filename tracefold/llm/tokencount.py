@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefold.llm.shingles import rows_of
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: The public vocabulary of the query.
@@ -123,7 +125,7 @@ def _count(path: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            yield batch.append_column("n_tokens", pa.array([c.count(t) for t in batch.column(text_at).to_pylist()], type=pa.int64()))
+            yield batch.append_column("n_tokens", pa.array([c.count(t) for (t,) in rows_of(batch.select([text_at]), 1)], type=pa.int64()))
 
     return run
 

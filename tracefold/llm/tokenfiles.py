@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import open_fs, scratch
-from tracefold.llm.shingles import blocks
+from tracefold.llm.shingles import blocks, rows_of
 from tracefold.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"TFTOKEN1"
@@ -95,7 +95,7 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int, width: int, dictiona
         def parts():
             yield MAGIC + head + bytes([width]) + bytes(7)
             for batch in batches:
-                for group in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
+                for group in blocks(rows_of(batch, 2), 1):
                     for (doc, _), got in zip(group, enc.encode([g[1] for g in group]), strict=True):
                         values = np.append(np.frombuffer(got, dtype="<u4"), end_id)
                         frame = packer.compress(values.astype(kind).tobytes())
