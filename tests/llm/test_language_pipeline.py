@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_groups, brute_lines, sets_of
@@ -62,6 +63,18 @@ def test_language_edges(edge, nothing, larger):
     assert langid.language_digest(edge).count() == 13
 
 
+def test_rare_languages_are_learned_at_every_size(spark):
+    """60 and 6 of 200,000 documents: far under one in SAMPLE, in letters of their own."""
+    lang = F.when(F.col("id") % 3333 == 1, "el").when(F.col("id") % 33333 == 2, "ru").otherwise("en")
+    text = F.when(F.col("lang") == "el", "και το νερό της θάλασσας ").when(F.col("lang") == "ru", "вода и ветер над морем ").otherwise("the water of the sea and the wind ")
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), lang.alias("lang")).withColumn("text", F.concat(F.repeat(text, 3), F.col("doc_id").cast("string")))
+    model = langid.learn(docs)
+    assert model[0] == ["el", "en", "ru"]
+    rare = langid.identify(docs.where("lang <> 'en' OR doc_id < 100"), model)
+    assert rare.where("lang_pred <> lang AND lang <> 'ru'").count() == 0
+    assert langid.keep_identified(docs.where("lang = 'el'"), model).count() == docs.where("lang = 'el'").count()
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage against a plain version of itself, on what its predecessor kept."""
     d = "/root/testdata/sf0.01"

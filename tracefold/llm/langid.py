@@ -24,6 +24,8 @@ WINDOW = 128
 #: Windows that are labelled at once.
 ROWS = 2048
 SAMPLE = 3000
+#: Documents of each language that are learned from at least, where there are so many.
+PER_LANGUAGE = 200
 WINDOWS = 2
 TRAIN_BYTES = 64
 STEPS = 260
@@ -39,12 +41,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], gru.Params] | None:
     """The learned languages and the network; None where there is nothing to learn from."""
-    known = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull())
-    n = known.count()
-    if not n:
+    known = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(17)), F.lit(10**15))
-    some = known.where(draw < int(10**15 * min(1.0, SAMPLE / n))).where(F.col(text_col).rlike(r"\p{L}"))
+    n = sum(counts.values())
+    # the share of a language that is drawn; by id and text, as an id may stand for many rows
+    shares = {lang: min(1.0, max(SAMPLE / n, PER_LANGUAGE / k)) for lang, k in counts.items()}
+    least = F.create_map(*[F.lit(x) for lang, share in sorted(shares.items()) for x in (lang, int(10**15 * share))])
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(17)), F.lit(10**15))
+    some = known.where(draw < F.element_at(least, F.col(lang_col)))
     room = F.greatest(F.length(text_col) - TRAIN_BYTES, F.lit(0)) + 1
     at = lambda k: (F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(k)), room.cast("long")) + 1).cast("int")
     parts = [F.substring(F.col(text_col), at(k), F.lit(TRAIN_BYTES)).alias(f"w{k}") for k in range(WINDOWS)]
