@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tracefold.functions import names as names_of
 from tracefold.operators import catalog, evidence, incremental, quality, relations, resolve
 from tracefold.plans import resolution
 from tracefold.sources import boards, sinks, tables
@@ -154,6 +155,32 @@ def test_resolution_equals_comparing_all_pairs(spark):
     assert all(x.m == x.n <= 5 for x in ranks)
 
 
+def test_long_names_equal_comparing_all_pairs(spark):
+    """Keys of 49 to 200 characters: a letter put into each part but the last, edits anywhere and at the bound, words swapped."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names, spelt = [], []
+    for size in [49, 53, 54, 57, 64, 65, 66, 72, 80, 99, 128, 150, 200]:
+        name = "".join(r.choice(letters) for _ in range(size))
+        names.append(name)
+        most = int((1 - names_of.SIMILAR) * size / names_of.SIMILAR + 1e-9)
+        width = size // (most + 1)
+        spelt.append("".join(c + ("9" if i % width == width // 2 and i // width < most else "") for i, c in enumerate(name)))
+        spelt.append("".join("9" if i % (size // most + 1) == 1 else c for i, c in enumerate(name)))
+        spelt.append("9" + name[1 : size // 2] + "8" + name[size // 2 + 1 :])
+        spelt.append(name[size // 2 :] + name[: size // 2])
+        cut = set(r.sample(range(size), int(0.16 * size)))
+        spelt.append("".join(c for i, c in enumerate(name) if i not in cut))
+    schema = "id string, name string, domain string, city string"
+    rows = lambda p, ns: [(f"{p}{i}", n, None, None) for i, n in enumerate(ns)]
+    leads, records = (resolution.identities(spark.createDataFrame(rows(p, ns), schema), F.col("name"), F.col("domain")).cache() for p, ns in (("l", spelt), ("r", names)))
+    every = leads.select(F.col("id").alias("lead_id")).crossJoin(records.select(F.col("id").alias("record_id")))
+    want = {tuple(x) for x in resolve.compare(every, leads, records).collect()}
+    got = {tuple(x) for x in resolve.compare(resolve.pairs(leads, records), leads, records).collect()}
+    assert got == want and len(want) > 45
+    assert {x[1] for x in want} == {f"r{i}" for i in range(len(names))}
+
+
 def test_outcome_rules(spark):
     identity = "id string, names array<struct<key:string,loose:string,kind:string>>, domains array<struct<domain:string,shared:boolean,via:string>>, abn array<string>, acn array<string>, city string, state string, address string, people array<string>"
 

@@ -14,8 +14,6 @@ from tracefold.functions.names import SIMILAR, SIMILAR_LENGTH, dice_of_many
 
 #: Rows of an identity table: id, names array<struct<key, loose, kind>>, domains array<struct<domain, shared, via>>,
 #: abn array<string>, acn array<string>, city, state, address, people array<string>.
-#: The longest name key whose spellings are searched; longer ones meet only by the other keys.
-LONGEST = 64
 
 # Weights of the ways in which names agree, and bands of scores.
 NAME_WEIGHTS = {"name_exact": 0.6, "name_legal": 0.55, "name_alias": 0.5, "name_former": 0.5, "name_loose": 0.35, "name_contained": 0.2}
@@ -30,7 +28,7 @@ def _grams(key: Column, width: Column) -> Column:
 
 def _edits(key: Column) -> Column:
     """The most edits that a partner of similarity SIMILAR or more can be away, by the longer of the two keys."""
-    return F.floor((1 - SIMILAR) * F.length(key) / SIMILAR).cast("int")
+    return F.floor((1 - SIMILAR) * F.length(key) / SIMILAR + 1e-9).cast("int")
 
 
 def pairs(leads: DataFrame, records: DataFrame) -> DataFrame:
@@ -66,13 +64,12 @@ def _similar(leads: DataFrame, records: DataFrame) -> DataFrame:
     By edits: of a record's key cut into e + 1 parts, one stands whole in the lead's key. By pairs of characters: two keys
     with a Dice of SIMILAR share one of their rarest pairs.
     """
-    shape = lambda d, i: d.select(F.col("id").alias(i), F.col("n.key").alias(f"{i}_key")).where(F.length(f"{i}_key").between(SIMILAR_LENGTH, LONGEST)).distinct()
+    shape = lambda d, i: d.select(F.col("id").alias(i), F.col("n.key").alias(f"{i}_key")).where(F.length(f"{i}_key") >= SIMILAR_LENGTH).distinct()
     a, b = shape(leads, "lead_id"), shape(records, "record_id")
     # every record part with its width; leads offer all substrings of the widths that occur
-    parts = b.select("record_id", "record_id_key", F.explode(F.sequence(F.lit(1), _edits(F.col("record_id_key")) + 1)).alias("n"))
-    parts = parts.where(F.col("n") == _edits(F.col("record_id_key")) + 1).select("record_id", "record_id_key", F.explode(_cut(F.col("record_id_key"), F.col("n"))).alias("part"))
-    parts = parts.where(F.length("part") >= 1).withColumn("width", F.length("part"))
-    grams = a.select("lead_id", "lead_id_key", F.explode(F.sequence(F.lit(1), F.least(F.length("lead_id_key"), F.lit(12)))).alias("width"))
+    parts = b.select("record_id", "record_id_key", F.explode(_cut(F.col("record_id_key"), _edits(F.col("record_id_key")) + 1)).alias("part"))
+    parts = parts.withColumn("width", F.length("part"))
+    grams = a.join(F.broadcast(parts.select("width").distinct()), F.length("lead_id_key") >= F.col("width"))
     grams = grams.select("lead_id", "lead_id_key", "width", F.explode(F.array_distinct(_grams(F.col("lead_id_key"), F.col("width")))).alias("part"))
     close = parts.join(grams, ["width", "part"]).where(F.abs(F.length("lead_id_key") - F.length("record_id_key")) <= F.greatest(_edits(F.col("lead_id_key")), _edits(F.col("record_id_key"))))
     by_edits = close.select("lead_id", "record_id")
@@ -81,14 +78,14 @@ def _similar(leads: DataFrame, records: DataFrame) -> DataFrame:
     often = ga.select("gram").unionByName(gb.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     near = _prefix(ga, often, "lead_id").join(_prefix(gb, often, "record_id"), "gram")
     few, many = F.least("lead_id_size", "record_id_size"), F.greatest("lead_id_size", "record_id_size")
-    by_pairs = near.where(few * (2 - SIMILAR) >= many * SIMILAR).select("lead_id", "record_id")
+    by_pairs = near.where(few * (2 - SIMILAR) >= many * SIMILAR - 1e-9).select("lead_id", "record_id")
     return by_edits.unionByName(by_pairs).distinct()
 
 
 def _cut(key: Column, n: Column) -> Column:
-    """A key cut into n parts of about one width."""
-    size, width = F.length(key), F.floor(F.length(key) / n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(key, i * width + 1, F.when(i == n - 1, size).otherwise(width)))
+    """A key cut into n parts whose widths differ by one at most."""
+    begin = lambda i: F.floor(F.length(key) * i / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(key, begin(i) + 1, begin(i + 1) - begin(i)))
 
 
 def _numbered(names: DataFrame, i: str) -> DataFrame:
