@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracefold.operators.slices import slices
 
 #: Distinct open reports that hide a post by themselves.
 HIDE_AT = 3
@@ -38,18 +41,25 @@ def visible_to(rows: DataFrame, viewer: Column) -> DataFrame:
 def decide(log: DataFrame, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
     """(id, status, applied, refused): the state after all decisions in order; a move that is not allowed changes nothing.
 
-    log: id, action, at, seq. The history of one id is folded in its row; it holds what people decided about one record.
+    log: id, action, at, seq. A slice of a history becomes the state and counts that it leads to from each state that there is.
     """
-    table = F.create_map(*[x for (state, action), to in moves.items() for x in (F.lit(f"{state}>{action}"), F.lit(to))])
-    history = log.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "action"))).alias("h"))
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
+    states = sorted({start, *(state for state, _ in moves), *moves.values()})
+
+    def step(ends: list, action: str | None) -> None:
+        for i, (status, applied, refused) in enumerate(zip(*ends, strict=True)):
+            to = moves.get((status, action))
+            ends[0][i], ends[1][i], ends[2][i] = to or status, applied + (to is not None), refused + (to is None)
+
+    first = lambda: [list(states), [0] * len(states), [0] * len(states)]
+    kind = T.StructType().add("status", T.ArrayType(T.StringType())).add("applied", T.ArrayType(T.IntegerType())).add("refused", T.ArrayType(T.IntegerType()))
+    parts = slices(log, "id", ["at", "seq", "action"], ["action"], first, step, kind)
 
-    def step(a: Column, x: Column) -> Column:
-        to = F.element_at(table, F.concat_ws(">", a["status"], x["action"]))
-        ok = to.isNotNull()
-        return F.struct(F.coalesce(to, a["status"]).alias("status"), (a["applied"] + ok.cast("int")).alias("applied"), (a["refused"] + (~ok).cast("int")).alias("refused"))
+    def then(a: Column, x: Column) -> Column:
+        i = F.array_position(F.array(*map(F.lit, states)), a["status"]).cast("int")
+        return F.struct(F.element_at(x["status"], i).alias("status"), (a["applied"] + F.element_at(x["applied"], i)).alias("applied"), (a["refused"] + F.element_at(x["refused"], i)).alias("refused"))
 
-    return history.select("id", F.aggregate("h", first, step).alias("s")).select("id", "s.*")
+    begin = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
+    return parts.select("id", F.aggregate("parts", begin, then).alias("s")).select("id", "s.*")
 
 
 # The moves of a candidate.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -184,11 +185,10 @@ def append_only_breaks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_streaks(spark: SparkSession, d: str) -> DataFrame:
     """The run with which each user's log ends, by a stateful stream over the events; held against `streaks` in tests."""
-    from tracefold.streaming.reads import streaks as stateful
-    from tracefold.streaming.run import to_table
+    from tracefold.streaming.reads import StreakTable
+    from tracefold.streaming.run import shared_folder
 
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     log = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
-    out = to_table(stateful(log), "update")
-    last = F.max_by(F.struct("value", "length", "at"), F.struct("at", "length"))
-    return out.groupBy("key").agg(last.alias("s")).select("key", "s.value", "s.length", "s.at")
+    base = f"{shared_folder(log)}/tracefold/streaks-{uuid.uuid4().hex}"
+    return StreakTable(spark, f"{base}/runs").run(log, f"{base}/checkpoint")

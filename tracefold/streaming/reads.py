@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.operators.incremental import apply_read
+from tracefold.operators.slices import slices
 
 
 class ReadTable:
@@ -48,24 +49,52 @@ def sessions(events: DataFrame, at: str, by: list[str], gap: str = "30 minutes",
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-STREAK_STATE, STREAK = "last string, length long, at timestamp", "key string, value string, length long, at timestamp"
+STREAK = "key string, value string, length long, at timestamp"
+#: A slice of a log: whether it has one value only, so that an equal run before it goes on, and the run it ends with.
+RUN = T.StructType().add("whole", "boolean").add("value", "string").add("length", "long").add("at", "timestamp")
 
 
-def streak_of(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The run of equal values with which a key's log ends so far."""
-    last, length, at = state.get if state.exists else (None, 0, None)
-    batch = pd.concat(list(rows)).sort_values(["at", "tie"])
-    for t, value in zip(batch["at"], batch["value"], strict=True):
-        if at is not None and t < at:
-            continue  # an event from before what is already counted changes no run
-        length, last, at = (length + 1 if value == last else 1), value, t.to_pydatetime()
-    state.update((last, length, at))
-    yield pd.DataFrame({"key": [key[0]], "value": [last], "length": [length], "at": [at]})
+def _count(run: list, value: str | None, at: datetime | None, stored: int | None) -> None:
+    """One more event. What is stored comes before the events of its moment; those from before it change no run."""
+    whole, last, length, _ = run
+    if stored is not None:
+        run[:] = [False, value, stored, at]
+    elif length and value == last:
+        run[2:] = [length + 1, at]
+    else:
+        run[:] = [whole and not length, value, 1, at]
 
 
-def streaks(log: DataFrame) -> DataFrame:
-    """For a stream of (key, value, at, tie): the current run of each key, whenever it has new rows."""
-    return log.groupBy("key").applyInPandasWithState(streak_of, STREAK, STREAK_STATE, "update", "NoTimeout")
+def closing_runs(log: DataFrame, stored: DataFrame) -> DataFrame:
+    """The run of equal values with which each key's log ends: of (key, value, at, tie) after the runs stored so far."""
+    rows = log.select("key", "value", "at", "tie", F.lit(None).cast("long").alias("stored"), F.lit(1).alias("kind"))
+    before = stored.select("key", "value", "at", F.lit(None).cast(log.schema["tie"].dataType).alias("tie"), F.col("length").alias("stored"), F.lit(0).alias("kind"))
+    parts = slices(rows.unionByName(before), "key", ["at", "kind", "tie", "value"], ["value", "at", "stored"], lambda: [True, None, 0, None], _count, RUN)
+    run = lambda x, length: F.struct(x["value"].alias("value"), length.alias("length"), x["at"].alias("at"))
+    join = lambda a, x: run(x, F.when(x["whole"] & x["value"].eqNullSafe(a["value"]), a["length"]).otherwise(F.lit(0)) + x["length"])
+    none = F.lit(None).cast("struct<value:string,length:bigint,at:timestamp>")
+    return parts.select("key", F.aggregate("parts", none, lambda a, x: F.when(a.isNull(), run(x, x["length"])).otherwise(join(a, x))).alias("s")).select("key", "s.*")
+
+
+class StreakTable:
+    """The current run of each key, which micro-batches of (key, value, at, tie) update, kept as numbered versions."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.latest = spark, folder, -1
+
+    def version(self, n: int) -> DataFrame:
+        if n < 0:
+            return self.spark.createDataFrame([], STREAK)
+        return self.spark.read.schema(STREAK).parquet(f"{self.folder}/v={n}")
+
+    def apply(self, batch: DataFrame, n: int) -> None:
+        closing_runs(batch, self.version(n - 1)).write.mode("overwrite").parquet(f"{self.folder}/v={n}")
+        self.latest = n
+
+    def run(self, log: DataFrame, checkpoint: str) -> DataFrame:
+        """All that is there, batch by batch; the runs after it."""
+        fold(log, self.apply, checkpoint).awaitTermination()
+        return self.version(self.latest)
 
 
 def fold(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
