@@ -1,0 +1,19 @@
+from pyspark.sql import functions as F
+
+from tracefold.plans import pages
+
+
+def test_short_quotes_beyond_one_block(spark, tmp_path, monkeypatch):
+    """Eleven short quotes and a long one, four to a block."""
+    monkeypatch.setattr(pages, "SHORT_QUOTES", 4)
+    docs = [(i, f"Said the  {i} and one {i * i} of many words here, as it was") for i in range(40)]
+    items = [(i, f"{i} and ONE" if i % 2 else f"one {i * i} of") for i in range(11)] + [(11, "the 7 and one 49 of many words here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    flat = lambda x: " ".join(x.lower().split())
+    want = sorted((i, d) for i, q in items for d, x in docs if flat(q) in flat(x))
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = sorted(tuple(r) for r in pages.quote_found(spark, str(tmp_path)).select(F.col("item_id"), F.col("doc_id")).collect())
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == want and len(want) > 12

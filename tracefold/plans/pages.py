@@ -71,7 +71,7 @@ def phrase_signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Quotes of fewer than seven words that are sought at once, by scanning.
+#: Quotes of fewer than seven words in a block; a block is sought at once, by scanning.
 SHORT_QUOTES = 1000
 
 
@@ -92,9 +92,10 @@ def quote_found(spark: SparkSession, d: str) -> DataFrame:
     heads = words.where(F.size("w") >= 5).select("doc_id", F.explode(runs).alias("head")).join(q.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
     long = heads.join(q.select("item_id", "q"), "item_id").join(t, "doc_id").where(F.contains("t", "q"))
     few = q.where("head IS NULL").select("item_id", "q")
-    if few.limit(SHORT_QUOTES + 1).count() > SHORT_QUOTES:
-        raise ValueError(f"more than {SHORT_QUOTES} quotes of fewer than seven words; seek them in parts")
-    short = t.join(F.broadcast(few), F.contains("t", "q"))
+    n = few.count()
+    # more than one block: each block meets each part of the documents in a task of its own
+    few = F.broadcast(few) if n <= SHORT_QUOTES else few.repartition(-(-n // SHORT_QUOTES))
+    short = t.join(few, F.contains("t", "q"))
     return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
