@@ -81,15 +81,30 @@ def plain_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_runs_pack_like_best_fit_of_single_pieces():
+def test_rounds_pack_about_as_well_as_best_fit_of_single_pieces(spark):
     r = random.Random(1)
-    for _ in range(60):
-        capacity = r.choice([1, 7, 64, 500])
-        lengths = [r.randint(1, capacity) if r.random() < 0.7 else max(1, capacity // 3) for _ in range(r.randint(0, 300))]
+    for capacity, low, high, many in ((1, 1, 1, 5), (64, 1, 64, 300), (4096, 800, 2048, 400), (4096, 1, 600, 3000)):
+        lengths = [r.randint(low, high) for _ in range(many)]
         histogram = {n: lengths.count(n) for n in set(lengths)}
-        runs = packing.best_fit(histogram, capacity)
-        assert sum(x.count for x in runs) == plain_best_fit(lengths, capacity)
-        assert len({x.number for x in runs}) == len(runs)
+        rows = packing.best_fit(spark.createDataFrame(list(histogram.items()), "length long, n long"), capacity).collect()
+        held, ranks = defaultdict(list), defaultdict(list)
+        for x in rows:
+            ranks[x.size].append((x.first, x.n * x.per))
+            for k in range(x.n):
+                held[x.number + k].append((x.at, x.size * x.per))
+        for size, parts in ranks.items():  # each rank once
+            assert sum(n for _, n in parts) == histogram[size]
+            at = 0
+            for first, n in sorted(parts):
+                assert first == at
+                at += n
+        for parts in held.values():
+            at = 0
+            for begin, n in sorted(parts):
+                assert begin == at
+                at += n
+            assert at <= capacity
+        assert set(ranks) == set(histogram) and len(held) <= 1.02 * plain_best_fit(lengths, capacity) + 1
 
 
 def test_token_files_round_trip(spark, tokenizer, documents):
