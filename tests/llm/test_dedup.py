@@ -3,6 +3,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracefold.llm import components, linededup, neardup, shingles
 
@@ -33,11 +34,32 @@ def test_lines_against_brute_force(spark):
         assert sorted((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in got) == brute_lines(docs)
 
 
-def test_runs_are_compacted(spark):
-    runs = linededup.Runs(fanout=2)
+def test_runs_are_compacted(spark, tmp_path):
+    runs = linededup.LineRuns.open(spark, str(tmp_path / "runs"), buckets=4)
     for i in range(5):
-        runs.add(linededup.sorted_run(spark.createDataFrame([(bytes([i]), i)], "h binary, owner long"), "t"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1] and runs.all().count() == 5
+        runs.push(spark.createDataFrame([(bytes([i]), i)], "h binary, owner long"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and sorted(r.owner for t in runs.tables() for r in t.collect()) == [0, 1, 2, 3, 4]
+    # a look-up shuffles neither run
+    runs.push(spark.createDataFrame([(b"x", 9)], "h binary, owner long"))
+    a, b = runs.tables()
+    plan = a.join(b.withColumnRenamed("owner", "other").hint("merge"), "h", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_second_batch_meets_saved_runs(spark, tmp_path):
+    docs = [(i, f"line shared by all of them\nline of {i % 40} and its copies\nown line of number {i}") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    path, got = str(tmp_path / "runs"), []
+    for low, high in ((0, 50), (50, 90), (90, 120)):
+        got += linededup.LineRuns.open(spark, path, buckets=4).add(df.where(f"doc_id >= {low} AND doc_id < {high}")).collect()
+    assert sorted((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in got) == brute_lines(docs)
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a line of text that repeats", "x"), (2, "a line of text that repeats", "y")], "doc_id long, text string, positions string")
+    df = df.withColumns({"kept": F.lit(7), "__lines": F.lit("l"), "doc": F.lit("d"), "version": F.lit("v"), "lines": F.lit(1), "n": F.lit(2), "c0": F.lit(3)})
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert [got[2][c] for c in ("positions", "kept", "__lines", "doc", "version", "lines", "n", "c0", "n_dropped")] == ["y", 7, "l", "d", "v", 1, 2, 3, 1]
 
 
 def test_line_edges(edge, nothing):
