@@ -124,6 +124,19 @@ def test_token_files_round_trip(spark, tokenizer, documents):
         tokenfiles.Shard(first.path, b"another")
 
 
+def test_there_is_a_dictionary_at_every_size():
+    import zstandard
+
+    for samples in ([], [b"ab"], [b"one sample of ids"] * 7, [b""] * 50, [b"the same"] * 5000, [bytes([i % 251, i % 7]) * 60 for i in range(500)]):
+        d = tokenfiles.train_dictionary(samples)
+        assert 8 <= len(d) <= tokenfiles.DICTIONARY_BYTES
+        frame = tokenfiles._compressor(d).compress(b"one sample of ids and more")
+        assert tokenfiles._decompressor(d).decompress(frame) == b"one sample of ids and more"
+        if samples and len(d) > 16:
+            plain = zstandard.ZstdCompressor(level=tokenfiles.LEVEL).compress(samples[0])
+            assert len(tokenfiles._compressor(d).compress(samples[0])) <= len(plain) + 4
+
+
 def test_token_file_edges(spark, tokenizer, edge, edge_rows, nothing):
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens) for r in tokenfiles.token_file_digest(edge).collect()), key=lambda r: r[2])
     assert [r[:2] for r in got] == sorted(r[:2] for r in got) and len(got) == 13

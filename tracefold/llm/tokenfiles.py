@@ -37,10 +37,11 @@ END_ID = 2
 LEVEL = 3
 #: What the index holds for a document without an id.
 NO_ID = -(2**63)
-#: The dictionary: its bytes, the documents it is trained on at most, and the largest part of one of them.
+#: The dictionary: its bytes, the documents that it is trained on at most, and the characters that it sees of one of them, at a
+#: place drawn by the hash of its id.
 DICTIONARY_BYTES = 65_536
 SAMPLE_DOCS = 2_000
-SAMPLE_BYTES = 8_192
+SAMPLE_CHARS = 8_192
 
 
 def _write(path: str, parts) -> None:
@@ -53,31 +54,37 @@ def _write(path: str, parts) -> None:
     f.move(temp, p)
 
 
-def train_dictionary(samples: list[bytes]) -> bytes:
-    """A zstandard dictionary of serialized id arrays; empty where there is too little to train on."""
+def train_dictionary(samples: list[bytes], end: bytes = b"\x02\x00", size: int = DICTIONARY_BYTES):
+    """The shared zstandard dictionary of serialized id arrays.
+
+    It is trained on the samples; where they are too few or too alike for the trainer, their own bytes are the dictionary.
+    """
     import zstandard
 
-    if sum(map(len, samples)) < 16 * 1024 or len(samples) < 8:
-        return b""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 8)), samples, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # how the trainer says so
+        return (b"".join(samples) or end * 4)[-size:].rjust(8, b"\0")
+
+
+def _dictionary(raw: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressionDict(raw)
 
 
 def _compressor(dictionary: bytes):
     import zstandard
 
-    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    if d:
-        d.precompute_compress(level=LEVEL)
+    d = _dictionary(dictionary)
+    d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d)
 
 
 def _decompressor(dictionary: bytes):
     import zstandard
 
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
 
 SHARDS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
@@ -158,12 +165,17 @@ class Shard:
 
 
 def _dictionary_sample(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> list[bytes]:
+    """Pieces of the documents with the smallest hashes, as serialized ids: the same for the same rows, in whatever order."""
     n = docs.count()
     if not n:
         return []
-    some = docs.sample(fraction=min(1.0, 1.1 * SAMPLE_DOCS / n), seed=5).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(SAMPLE_DOCS)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(10**15))
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    at = (F.pmod(F.xxhash64("doc_id", F.lit(3)), room.cast("long")) + 1).cast("int")
+    some = docs.withColumn("draw", draw).where(F.col("draw") < int(10**15 * min(1.0, 1.2 * SAMPLE_DOCS / n)))
+    some = some.select("draw", "doc_id", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("draw", "doc_id", "text").limit(SAMPLE_DOCS)
     ids = encoder(tokenizer).encode([r.text for r in some.toLocalIterator()])
-    return [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes()[:SAMPLE_BYTES] for x in ids]
+    return [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes() for x in ids]
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
@@ -177,7 +189,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     folder = folder or scratch(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 2**16 else 4
-    dictionary = train_dictionary(_dictionary_sample(docs, tokenizer, end_id, {2: "<u2", 4: "<u4"}[width]))
+    kind = {2: "<u2", 4: "<u4"}[width]
+    dictionary = train_dictionary(_dictionary_sample(docs, tokenizer, end_id, kind), np.array([end_id], dtype=kind).tobytes())
     f, p = open_fs(folder)
     f.create_dir(p, recursive=True)
     _write(f"{folder}/dictionary-{hashlib.sha256(dictionary).hexdigest()}.zdict", [dictionary])
