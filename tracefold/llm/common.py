@@ -13,8 +13,10 @@ LOCAL_SHARED = "/tmp/tracefold-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may go without."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: there is no folder that the driver and all executors share")
     return (path or LOCAL_SHARED).rstrip("/")
 
 
