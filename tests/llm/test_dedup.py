@@ -128,6 +128,14 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, neardup.near_dup_digest(df).collect())) == brute_groups(docs)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = "one two three four five six seven eight nine ten", " ".join(f"b{i}" for i in range(60))
+    near = b.replace("b59", "other")
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, near), (11, "alone in its own group"), (12, ""), (12, a)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_dup_digest(docs).collect()}
+    assert got == {(3, 3, True), (7, 3, False), (9, 3, False), (11, 11, True), (12, 3, False)}
+
+
 def test_min_max_estimates_similarity():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**63, 2000, dtype=np.uint64)

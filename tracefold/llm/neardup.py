@@ -38,6 +38,8 @@ LEAST_AGREE, LEAST_AGREE_MORE = 0.62, 0.70
 SKETCHED = 500
 #: Members of a bucket that are compared at once in step 3.
 CHUNK = 1500
+#: A class of exact copies with more than this share of all rows gives its component by broadcast.
+HOT = 1 / 2000
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,20 +164,29 @@ def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFram
     return inner.unionByName(outer).groupBy("key", "i", "j").applyInPandas(_close, "a long, b long").distinct()
 
 
+def _one_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that one id has rows in: they are one document."""
+    key = F.struct("k1", "k2", "n")
+    several = known.groupBy("doc").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc")
+    reps = known.join(several, "doc", "left_semi").join(classes, ["k1", "k2", "n"]).select("doc", "rep").distinct()
+    return reps.join(reps.groupBy("doc").agg(F.min("rep").alias("a")), "doc").where("a != rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the columns n_shingles, component_id and kept.
 
     Words are runs outside ASCII white space, A-Z lower-cased; a set holds the distinct 5-word shingles, or the whole
     sequence of fewer words. Null and empty texts and texts without words have an empty set and are linked with nothing.
     component_id is the smallest id reachable over links, kept tells whether it is the row's own. Rows of one id are one
-    document (with the size of its largest set); rows without an id are linked with nothing, kept, and have null values. Other columns pass through, columns named like the new
-    ones are replaced; an empty table gives an empty table.
+    document, linked with all that any of its texts is linked with (n_shingles is that of its largest set); rows without an
+    id are linked with nothing, kept, and have null values. Ids are whole numbers. Other columns pass through, columns named
+    like the new ones are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("n_shingles", "component_id", "kept")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = materialize(source.mapInArrow(_sign, SIGNED), "signed")
     known = signed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = materialize(known.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep")), "classes")
+    classes = materialize(known.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
     reps = materialize(
         known.join(classes.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi").dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "bands"), "reps"
     )
@@ -188,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(source.join(wanted, "doc", "left_semi").dropDuplicates(["doc", "text"]).mapInArrow(_sets, "node long, shingles binary, sketch binary"), "sets")
     sketches = sets.select(F.col("node").alias("rep"), (F.length("shingles") / 8).cast("long").alias("n"), "sketch")
 
-    first = materialize(verified(members.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets), "links")
+    by_hub = verified(members.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets)
+    first = materialize(by_hub.unionByName(_one_id(known, classes)), "links")
     roots = connected(first)
     close = materialize(_rest(members, roots, sketches), "close")
     second = materialize(verified(close, sets), "links")
@@ -197,10 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = connected(first.unionByName(second))
     discard(first, second)
 
-    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
-    found = signed.select("doc", "n", "k1", "k2").join(rooted, ["k1", "k2", "n"], "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc")).alias("component_id")
-    )
+    keys = ["k1", "k2", "n"]
+    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, "c", F.coalesce("root", "rep").alias("root"))
+    # classes with more than a share of all rows go by broadcast: there are at most 1/HOT of them
+    hot = F.col("c") > max(1000, int(signed.count() * HOT))
+    own = signed.select("doc", *keys).where("n > 0").join(F.broadcast(rooted.where(hot).select(*keys, F.col("root").alias("hot_root"))), keys, "left")
+    by_hot = own.where(F.col("hot_root").isNotNull()).select("doc", "n", F.col("hot_root").alias("root"))
+    by_cold = own.where(F.col("hot_root").isNull()).drop("hot_root").join(rooted.where(~hot), keys, "left").select("doc", "n", "root")
+    found = by_hot.unionByName(by_cold).unionByName(signed.where("n = 0").select("doc", "n", F.col("doc").alias("root")))
+    found = found.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc")).alias("component_id"))
     # rows of one id: one document, in the smallest of their components
     by_id = found.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     out = docs.join(by_id.withColumnRenamed("doc", "__doc"), docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
