@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import decontaminate, langid, linededup, neardup, packing
-from tracefold.llm.common import materialize
+from tracefold.llm.common import discard, materialize
 from tracefold.session import table
 
 
@@ -19,16 +19,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.learn(docs))
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """`docs` with columns of names that no operator uses, and the names of its id and text there."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain, f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document of a smaller id holds."""
-    found = linededup.dedup_lines(docs)
-    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return found.withColumns(changed).select(*docs.columns)
+    """All documents, without the lines that a document of a smaller id holds; null texts stay null, n_chars follows the text."""
+    plain, id_col, text_col = _plain(docs)
+    text = F.when(F.col(text_col).isNotNull(), F.col("kept_text"))
+    changed = {text_col: text}
+    if "n_chars" in docs.columns:
+        changed[f"c{docs.columns.index('n_chars')}"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return linededup.dedup_lines(plain, id_col, text_col).withColumns(changed).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return neardup.near_duplicates(docs).where("kept").select(*docs.columns)
+    plain, id_col, text_col = _plain(docs)
+    return neardup.near_duplicates(plain, id_col, text_col).where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +62,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
