@@ -113,3 +113,21 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert {r.doc_id for r in after} == set(before)
         docs = out
     assert kept[0] == kept[1] >= kept[2] > kept[3] > 0
+
+
+def test_stages_keep_columns_of_any_name(spark, edge, nothing):
+    """Nulls, repeated rows, no rows, and columns named like results go through every stage as they are."""
+    d = "/root/testdata/sf0.001"
+    names = ["component_id", "n_shingles", "n_lines", "n_dropped", "kept_text", "lang_pred", "sequence_id"]
+    for rows in (edge, nothing):
+        docs = rows.withColumns({n: F.lit(n) for n in names})
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            out = stage(spark, docs, d)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(getattr(r, n) == n for r in got for n in names)
+            assert bool(got) == (rows is edge)
+        assert corpus_pipeline.language_id(spark, docs, d).columns == docs.columns
+        assert (corpus_pipeline.best_fit_packing(spark, docs, d).count() > 0) == (rows is edge)
+    got = corpus_pipeline.line_dedup(spark, edge, d).collect()
+    assert {r.text for r in got if r.doc_id == 4} == {None} and {r.kept for r in got if r.doc_id in (1, 7)} == {True}
