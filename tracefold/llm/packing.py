@@ -1,11 +1,11 @@
 """Best-fit packing (4): bulk-synchronous best-fit over sorted runs of lengths.
 
-Pieces of one length are alike, and so are sequences with one history, so the pieces and the gaps are tables of runs:
-(length, how many) and (gap, how many sequences, from which number on). In a round each waiting length finds its successor
-among the gaps by a sweep over sorted ranges; lengths and gaps that lie next to each other make a block, in which places go
-by rank, the longest pieces to the narrowest gaps. What is not served waits; what fits into no gap opens as many sequences
-as its volume needs at least; gaps shrink, runs that are taken in part are split, and the next round begins. In every block
-either the lengths or the gaps are used up, so the blocks melt fast: the rounds depend on the lengths, not on the corpus.
+Pieces of one length are alike, and so are sequences with one history, so the range-sorted pieces and the range-sorted gaps
+are both kept as runs: (length, how many) and (gap, how many). A round takes the longest pieces still waiting and sweeps
+the gaps upwards from the successor of that length; the pieces, ranked, take places gap by gap, each sequence as many as
+fit; runs that are taken in part are split; what finds no gap opens new sequences; the gaps are updated and the next round
+begins. There are at most `capacity` lengths, hence rounds, and at most four runs more for each, however many documents
+there are; the runs are all that the driver holds.
 
 The pieces themselves stay distributed: each gets its rank among those of its length (from counts by length and salt), and
 the rank says which sequence of which run it has, and where.
@@ -14,21 +14,23 @@ the rank says which sequence of which run it has, and where.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import groupby
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialize, scratch
+from tracefold.llm.common import materialize
 from tracefold.llm.shingles import blocks, rows_of
 from tracefold.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
+#: Pieces of one length that are ranked in one task.
+PER_SALT = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,112 +58,64 @@ def cut_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, c
     """The pieces of all documents: their ids, closed by `end_id`, cut after every `capacity`."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_cut(path or tokenizer_path(), end_id, capacity), PIECES)
 
-#: Kinds of rows of a round's state: lengths that wait, gaps of open sequences, and what was placed in this round.
-WAITING, GAP, PLACED = 0, 1, 2
-COLUMNS = ["kind", "size", "n", "first", "number", "per", "at"]
-STATE = ", ".join(f"{c} long" for c in COLUMNS)
-#: The block of lengths that fit into no gap.
-OPENS = -1
-#: Lengths of one range of the sweep.
-RANGE = 64
-#: Pieces of one length that are ranked in one task.
-PER_SALT = 200_000
 
-
-def _swept(state: DataFrame) -> DataFrame:
-    """`state` with `block`, the name of what is settled together: lengths and the gaps that are next to serve them.
-
-    Sizes are sorted by ranges. Sweeping down, a length meets its successor, the smallest gap that is no smaller; sweeping
-    up, a gap meets the longest length that is no longer, which names its block. What lies outside a range comes from the
-    extremes of the other ranges. Lengths without successor are the block OPENS.
-    """
-    ask, gap = F.col("kind") == WAITING, F.col("kind") == GAP
-    marks = state.withColumn("range", F.floor(F.col("size") / RANGE))
-    by_size = Window.partitionBy("range").orderBy("size", "kind")  # of equal sizes the length comes before the gap
-    below, above = by_size.rowsBetween(Window.unboundedPreceding, 0), by_size.rowsBetween(0, Window.unboundedFollowing)
-    swept = marks.withColumns({"up": F.last(F.when(ask, F.col("size")), ignorenulls=True).over(below), "down": F.first(F.when(gap, F.col("size")), ignorenulls=True).over(above)})
-    # a row for each range: at most capacity / RANGE
-    ranges = marks.groupBy("range").agg(F.max(F.when(ask, F.col("size"))).alias("most"), F.min(F.when(gap, F.col("size"))).alias("least"))
-    before, after = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
-    carry = ranges.select("range", F.max("most").over(before).alias("carry_up"), F.min("least").over(after).alias("carry_down"))
-    swept = swept.join(F.broadcast(carry), "range").withColumns({"up": F.coalesce("up", "carry_up"), "down": F.coalesce("down", "carry_down")})
-    # lengths with one successor are in one block, and so are gaps with no asking length between them
-    named = F.max(F.when(ask, F.col("size"))).over(Window.partitionBy("down"))
-    swept = swept.withColumn("top_of_successor", named)
-    block = F.when(gap, F.col("up")).when(F.col("down").isNull(), F.lit(OPENS)).otherwise(F.col("top_of_successor"))
-    return swept.select("kind", "size", "n", "first", "number", block.cast("long").alias("block"))
-
-
-def _settle(capacity: int, top: int):
-    """Whole blocks: the lengths of each, longest first, take its sequences, smallest gap first, each as many as it holds."""
-
-    def taken(length: int, n: int, rank: int, room: int, number: int, count: int) -> Iterator[tuple]:
-        """`count` sequences from `number` on with a gap of `room` get `n` pieces; only the last may get fewer than it holds."""
-        per = room // length
-        for each, sequences, first, start in ((per, n // per, rank, number), (n % per, int(n % per > 0), rank + n // per * per, number + n // per)):
-            if sequences:
-                yield PLACED, length, sequences, first, start, each, capacity - room
-                yield GAP, room - each * length, sequences, 0, start, 0, 0
-
-    def settled(asks: list[tuple], gaps: list[tuple]) -> Iterator[tuple]:
-        gaps.reverse()
-        for length, n, rank in asks:
-            while n and gaps:
-                room, number, count = gaps.pop()
-                use = min(count, -(-n // (room // length)))
-                got = min(n, use * (room // length))
-                yield from taken(length, got, rank, room, number, use)
-                n, rank = n - got, rank + got
-                if count > use:
-                    gaps.append((room, number + use, count - use))
-            yield WAITING, length, n, rank, 0, 0, 0
-        for room, number, count in gaps:
-            yield GAP, room, count, 0, number, 0, 0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # runs only: some thousand rows in all tasks together
-        rows = [r for g in batches for r in g[["block", "kind", "size", "n", "first", "number"]].itertuples(index=False, name=None)]
-        out = []
-        for block, members in groupby(sorted(rows), key=lambda r: r[0]):
-            members = list(members)
-            asks = [(size, n, first) for _, kind, size, n, first, _ in reversed(members) if kind == WAITING]
-            gaps = [(size, number, n) for _, kind, size, n, _, number in members if kind == GAP]
-            if block == OPENS:
-                # gaps only shrink: these pieces need as many new sequences as their volume fills, and one for each over half
-                opened = max(-(-sum(size * n for size, n, _ in asks) // capacity), sum(n for size, n, _ in asks if 2 * size > capacity))
-                gaps = [(capacity, top, opened)]
-            out += settled(asks, gaps)
-        if out := [r for r in out if r[1] > 0 and r[2] > 0]:
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    return run
-
-
-def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(size, n, first, number, per, at) for `lengths` (length, n): which ranks of a length lie in which sequences, and where.
-
-    The `n` sequences from `number` on hold `per` pieces each of the length `size`, from offset `at`; the first of them has
-    the rank `first` among the pieces of its length. The driver sees the shortest waiting length of a round and the number
-    of sequences; the state is written to the shared folder after each round.
-    """
-    spark = lengths.sparkSession
-    folder = scratch(spark, "packing")
-    rounds, top = 0, 0
-    zero = F.lit(0).cast("long")
-    state = lengths.select(F.lit(WAITING).cast("long").alias("kind"), F.col("length").alias("size"), "n", zero.alias("first"), zero.alias("number"), zero.alias("per"), zero.alias("at"))
-    while True:
-        seen = Observation()
-        here = F.col("kind") == WAITING
-        numbered = F.max(F.when(~here, F.col("number") + F.col("n")))
-        path = f"{folder}/round={rounds:05d}"
-        state.observe(seen, F.min(F.when(here, F.col("size"))).alias("shortest"), numbered.alias("top")).write.parquet(path)
-        shortest = seen.get.get("shortest")
-        if shortest is None:
-            return spark.read.schema(STATE).parquet(folder).where(F.col("kind") == PLACED).drop("kind")
-        top = max(top, seen.get["top"] or 0)
-        left = spark.read.schema(STATE).parquet(path).where((F.col("kind") == WAITING) | (F.col("kind") == GAP) & (F.col("size") >= shortest))
-        state = _swept(left).repartition("block").mapInPandas(_settle(capacity, top), STATE)
-        rounds += 1
+@dataclass
+class Run:
+    """`count` sequences that hold the same lengths in the same order, numbered from `number` on."""
+
+    number: int
+    count: int
+    gap: int
+    #: (length, rank of the first piece among those of its length, pieces in each sequence, offset of the first piece)
+    held: list[tuple[int, int, int, int]] = field(default_factory=list)
+
+    def split(self, count: int) -> Run:
+        """Keep the first `count` sequences, return the others."""
+        rest = Run(self.number + count, self.count - count, self.gap, [(n, rank + count * each, each, at) for n, rank, each, at in self.held])
+        self.count = count
+        return rest
+
+    def take(self, length: int, rank: int, each: int, capacity: int) -> None:
+        self.held.append((length, rank, each, capacity - self.gap))
+        self.gap -= each * length
+
+
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
+    """The runs of all sequences, for the number of pieces of each length: best fit, longest first."""
+    runs: list[Run] = []
+    gaps: list[tuple[int, int]] = []  # (gap, place in runs), in order
+    number = 0
+
+    def keep(run: Run) -> None:
+        runs.append(run)
+        if run.gap:
+            insort(gaps, (run.gap, len(runs) - 1))
+
+    for length in sorted(histogram, reverse=True):
+        left, rank = histogram[length], 0
+        while left:
+            at = bisect_left(gaps, (length, -1))  # the successor: the narrowest gap that is wide enough
+            if at < len(gaps):
+                place = gaps.pop(at)[1]
+                run, runs[place] = runs[place], Run(0, 0, 0)
+            else:
+                run = Run(number, -(-left // (capacity // length)), capacity)
+                number += run.count
+            each = run.gap // length
+            whole = min(run.count, left // each)
+            last = left - whole * each if whole < run.count else 0
+            if run.count > whole + (last > 0):
+                keep(run.split(whole + (last > 0)))
+            if last:
+                part = run.split(whole)
+                part.take(length, rank + whole * each, last, capacity)
+                keep(part)
+            if whole:
+                run.take(length, rank, each, capacity)
+                keep(run)
+            left -= whole * each + last
+            rank += whole * each + last
+    return [r for r in runs if r.count]
 
 
 def _placed(plan):
@@ -186,8 +140,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` with sequence_id and offset; the pieces of a sequence fill it from 0 without a gap."""
     spark = pieces.sparkSession
     pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    lengths = materialize(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most `capacity` rows
-    plan = [(r.size << 40 | r.first, r.first, r.per, r.number, r.at) for r in best_fit(lengths, capacity).toLocalIterator()]
+    lengths = materialize(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r.length: r.n for r in lengths.collect()}  # at most `capacity` rows
+    plan = [(length << 40 | rank, rank, each, r.number, at) for r in best_fit(histogram, capacity) for length, rank, each, at in r.held]
     plan = spark.sparkContext.broadcast(np.array(sorted(plan), dtype=np.int64).reshape(-1, 5).T.copy())
     # a length has a salt for every PER_SALT pieces
     salts = lengths.select("length", F.ceil(F.col("n") / PER_SALT).alias("salts"))
