@@ -1,10 +1,11 @@
+import html as html_module
 import re
 import unicodedata
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tracefold.functions import dates, geo, names, pages, registry_numbers, urls
+from tracefold.functions import addresses, dates, geo, names, pages, registry_numbers, roles, sectors, urls
 
 
 def one(spark, *columns):
@@ -120,8 +121,7 @@ def test_strip_tags_against_python(spark):
     def plain(html):
         s = re.sub(r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->", " ", html)
         s = re.sub(r"(?s)<[^>]*>", " ", s)
-        for a, b in pages.ENTITIES:
-            s = s.replace(a, b)
+        s = re.sub(r"&(?:#x[0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);", lambda m: pages.NAMED.get(m[0][1:-1].lower(), html_module.unescape(m[0]) if "#" in m[0] else m[0]), s)
         return re.sub(r"[ \t\n\x0b\f\r]+", " ", s).strip(" ")
 
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
@@ -131,7 +131,7 @@ def test_strip_tags_against_python(spark):
 
 def test_redaction_against_python(spark):
     def plain(t):
-        return re.sub(pages.PHONE, "[phone removed]", re.sub(pages.MOBILE, "[phone removed]", re.sub(pages.EMAIL, "[email removed]", t)))
+        return re.sub(pages.PHONE, "[phone removed]", re.sub(pages.MOBILE, "[phone removed]", re.sub(pages.EMAIL.replace(r"\G|", ""), "[email removed]", t)))
 
     sample = ["mail a@b.co, call 0412 345 678 or +61 2 9999 8888 or 1300 123 456; 13 12 34", "logo@2x.png (02) 9999 1234 x", "(312) 555-1234", "", "no contact"]
     sample += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
@@ -141,9 +141,61 @@ def test_redaction_against_python(spark):
 
 
 def test_feeds(spark):
-    rss = "<rss><item><title><![CDATA[A &amp; B]]></title><link>https://x/1</link><guid>g</guid><pubDate>d</pubDate><description>&lt;p&gt;Hi&lt;/p&gt; there</description></item></rss>"
+    rss = "<rss><item><title><![CDATA[A &amp; B]]></title><link>https://x/1</link><guid>g</guid><pubDate>Mon, 2 Feb 2026 00:00:00 GMT</pubDate><description>&lt;p&gt;Hi&lt;/p&gt; there</description></item></rss>"
     atom = "<feed><entry><title>T</title><link href='https://x/2'/><id>i</id><updated>u</updated><summary>S</summary></entry></feed>"
     got = each(spark, [rss, atom, "", None], pages.feed_items)
-    assert [tuple(x) for x in got[0]] == [("A & B", "https://x/1", "g", "d", "<p>Hi</p> there")]
-    assert [tuple(x) for x in got[1]] == [("T", "https://x/2", "i", "u", "S")]
+    assert [tuple(x) for x in got[0]] == [("A & B", "https://x/1", "g", "2026-02-02T00:00:00.000Z", "<p>Hi</p> there")]
+    assert [tuple(x) for x in got[1]] == [("T", "https://x/2", "i", None, "S")]
     assert got[2] == [] and not got[3]
+
+
+def test_entities_named_and_numbered(spark):
+    given = ["a &amp;lt; b &#8217;s &#x2019; &#x1F600; &hellip; &unknown; &#0; &#xD800; & c", "none", None, "&AMP;&nbsp;x"]
+    assert each(spark, given, pages.decode_entities) == ["a &lt; b ’s ’ 😀 … &unknown; &#0; &#xD800; & c", "none", None, "& x"]
+
+
+def test_long_runs_do_not_end_the_session(spark):
+    given = ["a@b" + ".c" * 20_000, "x" * 200_000, "1 " + "word " * 12_000 + "street"]
+    got = each(spark, given, pages.redact_contacts)
+    assert got[0] == "[email removed]" and got[1] == given[1]
+    assert [len(x) for x in each(spark, given, pages.contacts)][:2] == [1, 0]
+    assert each(spark, given, addresses.street)[2] == "1 " + "word " * 12_000 + "street"
+
+
+def test_units_in_front_of_a_street_go_in_turn(spark):
+    given = ["L6/8/4 Martin Place, Sydney", "Suite 1.103/477 Collins St", "Level 7 127 Creek St", "The Foundry, 2 Main Rd", "Yatala QLD 4207"]
+    assert each(spark, given, addresses.street) == ["4 martin place", "477 collins street", "127 creek street", "2 main road", None]
+
+
+def test_feed_items_have_title_link_guid_and_time(spark):
+    rss = (
+        "<rss><item><title>No link</title></item><item><title>A &#8217; B</title><link>https://x.y/1</link><pubDate>Tue, 03 Mar 2026 10:15:00 +1100</pubDate></item>"
+        "<item><title>C</title><link>https://x.y/2</link><guid>g2</guid><dc:date>2026-03-04T01:02:03Z</dc:date></item><item><link>https://x.y/3</link></item></rss>"
+    )
+    (items,) = each(spark, [rss], pages.feed_items)
+    assert [(i.title, i.link, i.guid, i.published) for i in items] == [
+        ("A ’ B", "https://x.y/1", "https://x.y/1", "2026-03-02T23:15:00.000Z"),
+        ("C", "https://x.y/2", "g2", "2026-03-04T01:02:03.000Z"),
+    ]
+
+
+def test_points_and_states(spark):
+    points = [(-16.919, 145.778, "QLD"), (-35.353, 149.232, "NSW"), (-35.353, 149.232, "QLD"), (0.0, 0.0, "NSW"), (-33.86984, 151.20828, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, lat double, lng double, state string")
+    rows = geo.nearest_centre(df, "lat", "lng", 250).withColumn("bad", geo.conflicts_with_state(F.col("lat"), F.col("lng"), F.col("state"))).orderBy("i").collect()
+    assert [r.centre for r in rows] == ["Cairns", "Queanbeyan", "Queanbeyan", None, "Sydney"]
+    assert [r.bad for r in rows] == [False, False, True, False, True]
+
+
+def test_sectors_roles_and_profiles(spark):
+    assert each(spark, ["healthtech ", "VR", "Community", "Basket weaving", "N/A", "", None, "HR Tech"], sectors.group_of) == [
+        "Health & Biotech", "Deep Tech & Space", "Other", "Other", None, None, None, "Software & DevTools",
+    ]
+    assert each(spark, ["Basket weaving", "saas", None], sectors.is_placed) == [False, True, True]
+    assert each(spark, ["Talent Partner", "Operating Partner", "General Partner", "Venture Scout", "Baker", " ", None, "Investor/Analyst"], roles.role_class) == [
+        "talent", "platform", "investment", "scout", "other", None, None, "investment",
+    ]
+    assert each(spark, ["https://au.LinkedIn.com/in/J%C3%A9Z/?x=1#t", "http://www.a.b:80/P/", "mailto:x", None, "https://linkedin.com/company/x"], roles.profile_key) == [
+        "linkedin.com/in/jéz", "a.b/P", None, None, "linkedin.com/company/x",
+    ]
+    assert each(spark, ["https://linkedin.com/in/x", "https://linkedin.com/in/x/y", None], roles.is_linkedin_profile) == [True, False, False]

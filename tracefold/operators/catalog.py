@@ -16,7 +16,7 @@ TIGHT_LEAST = 5
 # Funding stages from early to late; unknown labels come after them, no label last.
 STAGES = (
     "Pre-seed", "Seed", "Early", "Series A", "Series B", "Series B+", "Series C", "Series C+",
-    "Series D", "Series D+", "Series E", "Growth", "Unicorn", "Other Equity", "Subsidiary", "Acquired",
+    "Series D", "Series D+", "Series E", "Growth", "Unicorn", "Acquired", "Subsidiary", "Other Equity",
 )
 # Sizes of teams.
 TEAM_SIZES = (("1-9", 1, 9), ("10-29", 10, 29), ("30-99", 30, 99), ("100plus", 100, None))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefold.functions import addresses
 from tracefold.functions.urls import url_key
 
 RANK = {"high": 3, "medium": 2, "low": 1}
@@ -54,7 +55,7 @@ def text_key(v: Column) -> Column:
 def value_key(field_type: Column, name: Column, v: Column) -> Column:
     """A text under which equal values of a field meet, for the types whose equality has one.
 
-    Addresses and money have none (an amount without a currency equals any): see `distinct_addresses`.
+    Addresses and money have none (an amount without a currency equals any): see `grouped_values`.
     """
     return (
         F.when(field_type == "url", url_key(v))
@@ -76,6 +77,51 @@ def distinct_values(claims: DataFrame, c: Claims, key: str) -> DataFrame:
     return claims.groupBy(c.subject, c.field, key).agg(F.count(F.lit(1)).alias("rows"), F.max(rank(F.col(c.confidence))).alias("best"))
 
 
+def money(amount: Column, currency: Column) -> Column:
+    """A sum as `same_money` compares it."""
+    return F.struct(amount.cast("double").alias("amount"), currency.cast("string").alias("currency"))
+
+
+def same_money(a: Column, b: Column) -> Column:
+    """Equal amounts, and equal currencies where both state one."""
+    return (a["amount"] == b["amount"]) & F.coalesce(a["currency"] == b["currency"], F.lit(True))
+
+
+def place(address: Column) -> Column:
+    """An address as `same_place` compares it."""
+    return F.struct(address.alias("address"), addresses.street(address).alias("street"), addresses.postcode(address).alias("postcode"), addresses.normal(address).alias("normal"))
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Streets and postcodes where both state them, else the postcode where one has no street, else the whole text."""
+    streets = a["street"].isNotNull() & b["street"].isNotNull()
+    codes = F.coalesce(a["postcode"] == b["postcode"], F.lit(False))
+    either = a["postcode"].isNull() | b["postcode"].isNull()
+    return F.when(streets, (a["street"] == b["street"]) & (either | codes)).otherwise(codes | (a["normal"] == b["normal"]))
+
+
+def grouped_values(claims: DataFrame, c: Claims, order: str, value: Column, equal) -> DataFrame:
+    """(subject, field, value, rows, best): the different values of a subject where equality has no key, such as `same_money`.
+
+    Values are taken in `order`; each joins the first earlier value that it equals, so a value without a currency joins the
+    first of its amount. Repeats of one value are counted before a subject's values meet, so what meets is no more than the
+    different values that its sources state.
+    """
+    rows = claims.withColumn("__value", value).where(F.col("__value").isNotNull())
+    each = rows.groupBy(c.subject, c.field, "__value").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("rows"), F.max(rank(F.col(c.confidence))).alias("best"))
+    one = F.struct("at", F.col("__value").alias("value"), "rows", "best")
+    grouped = each.groupBy(c.subject, c.field).agg(F.sort_array(F.collect_list(one)).alias("__all"))
+    kind = grouped.schema["__all"].dataType.simpleString()
+
+    def join(found: Column, v: Column) -> Column:
+        hit = F.array_position(F.transform(found, lambda g: equal(g["value"], v["value"])), True)
+        more = lambda g: F.struct(g["at"].alias("at"), g["value"].alias("value"), (g["rows"] + v["rows"]).alias("rows"), F.greatest(g["best"], v["best"]).alias("best"))
+        return F.when(hit == 0, F.concat(found, F.array(v))).otherwise(F.transform(found, lambda g, i: F.when(i + 1 == hit, more(g)).otherwise(g)))
+
+    done = F.aggregate("__all", F.array().cast(kind), join)
+    return grouped.select(c.subject, c.field, F.inline(done)).drop("at")
+
+
 def conflicts(claims: DataFrame, stored: DataFrame, c: Claims, key: str) -> DataFrame:
     """(subject, field, kind): sources that disagree, or one value on which they agree and the record has another.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.dates import ROTATION_BLOCKS, half_day_block, rotation_bucket
-from tracefold.functions.geo import CITY_CENTRES, distance_metres
+from tracefold.functions.geo import ALL_CENTRES, CITY_CENTRES, distance_metres
 
 # Distances, in metres unless they say kilometres.
 SAME_POINT, AGREE_ADDRESS, AGREE_AREA, CENTRE, FAR_KM = 25, 500, 2500, 120, 100
@@ -22,7 +22,7 @@ def _from_city(lat: Column, lng: Column, city: Column) -> Column:
 
 
 def _to_any_centre(lat: Column, lng: Column) -> Column:
-    return F.least(*[distance_metres(lat, lng, F.lit(y), F.lit(x)) for _, _, y, x in CITY_CENTRES])
+    return F.least(*[distance_metres(lat, lng, F.lit(y), F.lit(x)) for _, _, y, x in ALL_CENTRES])
 
 
 def location_issues(rows: DataFrame) -> DataFrame:

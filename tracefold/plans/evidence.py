@@ -110,14 +110,37 @@ def flatten_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT l_orderkey AS company_id, l_suppkey, max(l_shipdate) AS checked FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+WITH c AS (
+  SELECT l_orderkey AS company_id, (l_quantity::BIGINT % 5)::DOUBLE AS amount, CASE l_linenumber % 3 WHEN 1 THEN 'AUD' WHEN 2 THEN 'USD' END AS currency, l_linenumber AS pos,
+         CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN 2 ELSE 1 END AS best FROM lineitem),
+f AS (SELECT *, first_value(currency) OVER (PARTITION BY company_id, amount ORDER BY pos) AS first FROM c)
+SELECT company_id, amount, CASE WHEN first IS NOT NULL THEN coalesce(currency, first) END AS currency, count(*)::BIGINT AS rows, max(best)::INTEGER AS best FROM f GROUP BY ALL
+""")
+def money_values(spark: SparkSession, d: str) -> DataFrame:
+    """The different sums that the line items of an order state, some of them without a currency."""
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    currency = F.when(n % 3 == 1, "AUD").when(n % 3 == 2, "USD")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("company_id"), F.lit("funding_total").alias("field"), F.when(flag == "A", "high").when(flag == "R", "medium").otherwise("low").alias("confidence"),
+        E.money(F.col("l_quantity").cast("long") % 5, currency).alias("sum"), n.alias("pos"),
+    )
+    found = E.grouped_values(rows, E.Claims(), "pos", F.col("sum"), E.same_money)
+    return found.select("company_id", F.col("value.amount").alias("amount"), F.col("value.currency").alias("currency"), "rows", "best")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS company_id, l_suppkey, l_shipdate::TIMESTAMP AS seen FROM lineitem WHERE l_returnflag <> 'R'
+  UNION ALL SELECT o_orderkey, 1 + o_custkey % 7, o_orderdate::TIMESTAMP FROM orders WHERE o_orderstatus = 'O'),
+u AS (SELECT company_id, l_suppkey, max(seen) AS checked FROM r GROUP BY ALL),
 p AS (SELECT u.*, s_name FROM u JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 1000)
 SELECT company_id, max(checked) AS checked_at, string_agg(s_name, ',' ORDER BY checked DESC, s_name DESC) AS sources FROM p GROUP BY company_id
 """)
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    rows = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("company_id"), F.col("l_suppkey").cast("string").alias("source_id"), F.col("l_shipdate").alias("verified_at"), F.lit("active").alias("status"))
-    roles = rows.limit(0).withColumnRenamed("verified_at", "last_confirmed_at").withColumn("status", F.lit("open"))
+    """Pages behind the claims (line items that were not returned) and the open roles (open orders) of each order."""
+    id_of = lambda c: c.cast("string").alias("source_id")
+    rows = table(spark, d, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("company_id"), id_of(F.col("l_suppkey")), F.col("l_shipdate").cast("timestamp").alias("verified_at"), F.lit("active").alias("status"))
+    o = table(spark, d, "orders")
+    roles = o.select(F.col("o_orderkey").alias("company_id"), id_of(1 + F.col("o_custkey") % 7), F.col("o_orderdate").cast("timestamp").alias("last_confirmed_at"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"))
     s = table(spark, d, "supplier")
     sources = s.select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_acctbal") > 1000, "press").otherwise("private").alias("kind"), F.concat(F.lit("https://x.example/"), "s_name").alias("url"), F.col("s_name").alias("title"))
     p = E.provenance(rows, roles, sources, ["press"])

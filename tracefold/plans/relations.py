@@ -58,7 +58,7 @@ def metro_range_join(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", "state", geo.metro_of_postcode(F.col("state"), F.col("postcode")).alias("metro"))
 
 
-CENTRES_SQL = ", ".join(str(r) for r in geo.CITY_CENTRES)
+CENTRES_SQL = ", ".join(str(r) for r in geo.ALL_CENTRES)
 
 
 @query(f"""

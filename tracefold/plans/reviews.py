@@ -30,7 +30,7 @@ def places(spark: SparkSession, d: str) -> DataFrame:
 
 
 DISTANCE = "2 * 6371008.8 * asin(sqrt(pow(sin(radians({y} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({y})) * pow(sin(radians({x} - {b}) / 2), 2)))"
-NEAREST_SQL = "least(" + ", ".join(DISTANCE.format(y=y, x=x, a="lat", b="lng") for _, _, y, x in geo.CITY_CENTRES) + ")"
+NEAREST_SQL = "least(" + ", ".join(DISTANCE.format(y=y, x=x, a="lat", b="lng") for _, _, y, x in geo.ALL_CENTRES) + ")"
 SYDNEY_SQL = DISTANCE.format(y=-33.8688, x=151.2093, a="lat", b="lng")
 
 
