@@ -29,8 +29,6 @@ from tracefold.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length that are ranked in one task.
-PER_SALT = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -144,8 +142,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in lengths.collect()}  # at most `capacity` rows
     plan = [(length << 40 | rank, rank, each, r.number, at) for r in best_fit(histogram, capacity) for length, rank, each, at in r.held]
     plan = spark.sparkContext.broadcast(np.array(sorted(plan), dtype=np.int64).reshape(-1, 5).T.copy())
-    # a length has a salt for every PER_SALT pieces
-    salts = lengths.select("length", F.ceil(F.col("n") / PER_SALT).alias("salts"))
+    # the n pieces of a length are ranked in the square root of n parts, so that parts and their sums stay alike in size
+    salts = lengths.select("length", F.ceil(F.sqrt("n")).alias("salts"))
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("salt"))
     bases = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", (upto - F.col("n")).alias("base"))
