@@ -5,14 +5,14 @@ SEGMENTS (r + 1) - 1 of a query lie within r of it in one segment at least. So a
 radius 0, 1, 2, ..., verifies what it finds by whole distance, and stops for a query once its k-th distance is covered.
 
 Rows of one code are one entry, with the k smallest ids, which is all that a top k by distance and id can need: a code that
-a third of all rows share costs no more than another. Entries are dealt to shards by their code; the queries go through the
-shards in blocks, and the shards' answers, k for each query at most, are merged by a window.
+a third of all rows share costs no more than another. Entries are dealt to shards and query codes to blocks, both by hash;
+each shard meets each block in a task, and the shards' answers, k ids for each query at most, are merged by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 K = 10
 #: Entries of a shard, and queries of a block: both are what a task holds.
-SHARD, BLOCK = 250_000, 50_000
+SHARD, BLOCK = 250_000, 100_000
 #: Look-ups that are made at once.
 AT_ONCE = 1_000_000
+#: Queries that are searched together within a block.
+AT_A_TIME = 500
 
 
 def _project(vectors: np.ndarray) -> np.ndarray:
@@ -122,21 +124,32 @@ class MultiIndex:
         return tuple(found)
 
 
-ANSWER = "query long, distance int, ids array<long>"
-
-
-def _search(queries, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("code", pa.int64()), ("ids", pa.list_(pa.int64()))]))
-        if not table.num_rows:
-            return
-        codes, ids = table.column("code").to_numpy().view(np.uint64), table.column("ids").to_pylist()
-        index = MultiIndex(codes, np.array([len(x) for x in ids]))
-        wanted = queries.value
-        schema = pa.schema([("query", pa.int64()), ("distance", pa.int32()), ("ids", pa.list_(pa.int64()))])
-        for at in range(0, len(wanted), 500):
-            q, c, d = index.search(wanted[at : at + 500], k)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[at : at + 500][q].view(np.int64)), pa.array(d.astype(np.int32)), pa.array([ids[j] for j in c], type=pa.list_(pa.int64()))], schema=schema)
+ANSWER = "query long, distance int, vec_id long"
+
+
+def _search(k: int):
+    """The k nearest ids in one shard for each query of one block, by distance and id."""
+    schema = pa.schema([("query", pa.int64()), ("distance", pa.int32()), ("vec_id", pa.int64())])
+
+    def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
+        if not entries.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        codes = entries.column("code").to_numpy().view(np.uint64)
+        wanted = asked.column("code").to_numpy().view(np.uint64)
+        lists = entries.column("ids").combine_chunks()
+        sizes, ids = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        index, out = MultiIndex(codes, sizes), []
+        for at in range(0, len(wanted), AT_A_TIME):
+            q, c, d = index.search(wanted[at : at + AT_A_TIME], k)
+            n = sizes[c]
+            place = np.repeat(starts[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            q, d, i = np.repeat(q, n), np.repeat(d, n), ids[place]
+            order = np.lexsort((i, d, q))
+            q, d, i = q[order], d[order], i[order]
+            near = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append(pa.Table.from_arrays([pa.array(wanted[at : at + AT_A_TIME][q[near]].view(np.int64)), pa.array(d[near].astype(np.int32)), pa.array(i[near])], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
@@ -145,24 +158,21 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows of `codes` (id, code) for each row of `queries` (id, code).
 
     Nearest by Hamming distance, then by id; a query that is a row itself is among its own answers. Fewer rows than k: all
-    of them. Repeated rows of one id and code count once. Empty tables give an empty table.
+    of them. Repeated rows of one id and code count once, rows without id or code not at all. Empty tables give an empty
+    table. Every shard meets every block of queries in a task of its own; nothing of either goes through the driver.
     """
-    spark = codes.sparkSession
-    entries = materialize(_smallest(codes, k), "entries")
-    shards = max(4, -(-entries.count() // SHARD))
-    entries = materialize(entries.repartition(shards, "code"), "shards")
-    asked = queries.select("code").distinct().toLocalIterator()
-    parts = None
-    while block := [r.code for r in islice(asked, BLOCK)]:
-        sent = spark.sparkContext.broadcast(np.array(block, dtype=np.int64).view(np.uint64))
-        part = entries.repartition(shards, "code").select("code", "ids").mapInArrow(_search(sent, k), ANSWER)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    flat = parts.select("query", "distance", F.explode("ids").alias("vec_id"))
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-    asking = queries.select(F.col("id").alias("query_id"), "code").distinct()
-    return asking.join(ranked, F.col("code") == F.col("query")).select("query_id", "rank", "vec_id", "distance")
+    entries = materialize(_smallest(codes.where("id IS NOT NULL AND code IS NOT NULL"), k), "entries")
+    queries = queries.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
+    asked = materialize(queries.select("code").distinct(), "asked")
+    shards, blocks = max(4, -(-entries.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
+    part = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda df: df.repartition(shards * blocks, "shard", "block").groupBy("shard", "block")
+    left = dealt(entries.select("code", "ids", part(shards).alias("shard"), every(blocks).alias("block")))
+    right = dealt(asked.select("code", part(blocks).alias("block"), every(shards).alias("shard")))
+    found = left.cogroup(right).applyInArrow(_search(k), ANSWER)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    return queries.select(F.col("id").alias("query_id"), "code").join(ranked, F.col("code") == F.col("query")).select("query_id", "rank", "vec_id", "distance")
 
 
 def _smallest(codes: DataFrame, k: int) -> DataFrame:
