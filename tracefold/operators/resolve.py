@@ -210,12 +210,17 @@ def resolve(leads: DataFrame, records: DataFrame, keep: int = 5) -> DataFrame:
 def match_list(items: DataFrame, records: DataFrame, first: str, second: str) -> DataFrame:
     """A curated list against records: by one key, then, for what is left, by a looser one.
 
-    items and records have id and both keys. Returns (item_id, state, record_ids): found, ambiguous or unmatched.
+    items and records have id and both keys. Returns (item_id, state, record_ids): found, ambiguous or unmatched. Records of one
+    key are gathered before the join, so an item meets one row for its key, however many records share it.
     """
-    hit = lambda left, k: left.select(F.col("id").alias("item_id"), F.col(k).alias("k")).where("k <> ''").join(records.select(F.col("id").alias("record_id"), F.col(k).alias("k")), "k")
-    one = hit(items, first).select("item_id", "record_id")
+
+    def hit(left: DataFrame, k: str) -> DataFrame:
+        per_key = records.where(F.col(k) != "").groupBy(F.col(k).alias("k")).agg(F.collect_set("id").alias("records"))
+        return left.select(F.col("id").alias("item_id"), F.col(k).alias("k")).where("k <> ''").join(per_key, "k").select("item_id", "records")
+
+    one = hit(items, first)
     left = items.join(one.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
-    every = one.unionByName(hit(left, second).select("item_id", "record_id")).groupBy("item_id").agg(F.array_sort(F.collect_set("record_id")).alias("record_ids"))
+    every = one.unionByName(hit(left, second)).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("records")))).alias("record_ids"))
     j = items.select(F.col("id").alias("item_id")).join(every, "item_id", "left")
     n = F.coalesce(F.size("record_ids"), F.lit(0))
     return j.select("item_id", F.when(n == 1, "found").when(n > 1, "ambiguous").otherwise("unmatched").alias("state"), "record_ids")

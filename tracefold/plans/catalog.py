@@ -79,13 +79,14 @@ def page_keyset(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, r AS rank FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 4 ELSE 3 END::INTEGER AS r, o_orderdate FROM orders)
-ORDER BY r, o_orderdate, o_orderkey LIMIT 50
+SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'Seed' WHEN 1 THEN 'Series A' WHEN 2 THEN 'Moonshot' WHEN 3 THEN 'Unknown' END AS stage, n AS rank
+FROM (SELECT *, CASE c_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 16 ELSE 17 END::INTEGER AS n FROM customer) ORDER BY n, c_name, c_custkey LIMIT 50
 """)
 def sort_rank_then_name(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM"))), F.col("o_orderpriority"))
-    ranked = F.when(rank > 0, rank - 1).when(F.col("o_orderpriority") == "5-LOW", 4).otherwise(3).cast("int")
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate", ranked.alias("rank")).orderBy("rank", "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "rank")
+    n = F.col("c_nationkey") % 5
+    stage = F.when(n == 0, "Seed").when(n == 1, "Series A").when(n == 2, "Moonshot").when(n == 3, "Unknown")
+    rows = table(spark, d, "customer").withColumn("stage", stage).withColumn("rank", C.stage_rank(F.col("stage")))
+    return C.page(C.order_by(rows, [F.col("rank")], "c_name", "c_custkey"), 0, 50).select("c_custkey", "stage", "rank")
 
 
 @query(f"""

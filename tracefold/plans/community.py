@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracefold.operators import folds
 from tracefold.operators import relations as R
 from tracefold.plans.base import query
 from tracefold.session import table
@@ -33,9 +34,9 @@ SELECT conv_id, turn, role FROM conversations WHERE (turn % 4 <> 3 OR conv_id %
 """)
 def feed_visible_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of a feed: every fourth turn is hidden from all but its author, who is asking."""
-    c = table(spark, d, "conversations").where("role <> 'system'")
-    shown = (F.col("turn") % 4 != 3) | (F.col("conv_id") % 5 == 2)
-    return c.where(shown).orderBy(F.desc("conv_id"), F.desc("turn")).limit(30).select("conv_id", "turn", "role")
+    status = F.when(F.col("turn") % 4 == 3, "hidden").otherwise("visible")
+    c = table(spark, d, "conversations").where("role <> 'system'").withColumns({"status": status, "author": F.col("conv_id") % 5})
+    return folds.visible_to(c, F.lit(2)).orderBy(F.desc("conv_id"), F.desc("turn")).limit(30).select("conv_id", "turn", "role")
 
 
 SEGMENT_GOAL = {"BUILDING": "cofounder", "MACHINERY": "talent", "AUTOMOBILE": "job", "HOUSEHOLD": "meet", "FURNITURE": "feedback"}

@@ -105,8 +105,10 @@ def newest_claim(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey AS company_id, l_linenumber AS evidence_line, s_name AS source_name, s_acctbal FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey
 """)
 def flatten_claims(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name"), "s_acctbal")
-    return table(spark, d, "lineitem").join(s, "l_suppkey", "left").select(F.col("l_orderkey").alias("company_id"), F.col("l_linenumber").alias("evidence_line"), "source_name", "s_acctbal")
+    s = table(spark, d, "supplier").where("s_acctbal > 0")
+    sources = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("https://x.example/").alias("url"), F.lit("press").alias("kind"), F.col("s_acctbal").alias("retrieved_at"))
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("company_id"), F.col("l_suppkey").alias("source_id"))
+    return E.flatten(rows, sources).select("company_id", F.col("evidence_id").alias("evidence_line"), "source_name", F.col("retrieved_at").alias("s_acctbal"))
 
 
 @query("""
