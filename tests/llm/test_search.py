@@ -31,6 +31,16 @@ def test_top_k_of_few_rows_and_none(spark):
     assert T.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_over_several_blocks_and_shards_without_ids_or_codes(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD", 40)
+    monkeypatch.setattr(T, "BLOCK", 7)
+    monkeypatch.setattr(T, "AT_A_TIME", 3)
+    r = random.Random(2)
+    rows = [(i, r.getrandbits(8)) for i in range(400)]
+    df = spark.createDataFrame([*rows, *rows[:5], (None, 3), (20, None)], "id long, code long")
+    assert sorted(map(tuple, T.top_k(df, df.where("id % 20 = 0"), 10).collect())) == brute_top_k(rows, 10)
+
+
 def test_codes_of_vectors(spark):
     rows = [(0, [1.0] * 64), (1, [-1.0] * 64), (2, None), (None, [1.0] * 64), (3, [0.5, -0.5]), (4, []), (5, [None] * 64)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
