@@ -203,8 +203,8 @@ def location_backing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id AS position, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 1 DAY WHEN event_id % 7 = 3 THEN ts - INTERVAL 9 MINUTE ELSE ts END AS at FROM events)
-SELECT * FROM (SELECT position, at, lag(at) OVER (ORDER BY position) AS at_before FROM e) WHERE at < at_before - INTERVAL 10 MINUTE
+WITH e AS (SELECT event_id AS position, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 1 DAY WHEN event_id % 7 = 3 THEN ts - INTERVAL 9 MINUTE ELSE ts END AS "at" FROM events)
+SELECT * FROM (SELECT position, "at", lag("at") OVER (ORDER BY position) AS at_before FROM e) WHERE "at" < at_before - INTERVAL 10 MINUTE
 """)
 def log_out_of_order(spark: SparkSession, d: str) -> DataFrame:
     k, ts = F.col("event_id"), F.col("ts")
