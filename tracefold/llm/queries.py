@@ -25,6 +25,24 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.quality import quality_digest
+
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.resampling import resampling_digest
+
+    return resampling_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.lexical import search_digest
+
+    return search_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", "secrets", "secret_digest"),
     "op2_top_k": _over("embeddings", "topk", "top_k_digest"),
@@ -36,6 +54,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": _over("documents", "langid", "language_digest"),
     "op9_token_counts": _over("documents", "tokencount", "token_count_digest"),
     "op10_line_dedup": _over("documents", "linededup", "line_dedup_digest"),
+    "op11_quality": _quality,
+    "op12_resampling": _resampling,
+    "op13_ranked_search": _ranked_search,
 }
 
 LINE_DEDUP_SQL = r"""
@@ -109,4 +130,47 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
-SQL: dict[str, str] = {"op2_top_k": TOP_K_SQL, "op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+#: The crc32 of every distinct word is worked out byte by byte, by the usual table of 256 values.
+RESAMPLING_SQL = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+w AS (
+  SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+c AS (SELECT side, id, w, count(*) AS n FROM w GROUP BY ALL),
+hx AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM c)),
+v AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket FROM hx, tab),
+f AS (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM c JOIN v USING (w) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000))))::BIGINT AS gain FROM s),
+d AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+e AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM documents LEFT JOIN d ON doc_id = id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT e.*, CASE WHEN r <= 10 * n // 100 THEN r END::BIGINT AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
+
+RANKED_SEARCH_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+tf AS (SELECT doc_id, w, count(*)::BIGINT AS tf FROM w GROUP BY ALL),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM w GROUP BY doc_id),
+k AS (SELECT count(*)::BIGINT AS N_, sum(n)::BIGINT AS L FROM n),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * N_) // L) AS m FROM n, k),
+t AS (SELECT w, floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT w, count(*)::BIGINT AS df FROM tf GROUP BY w), k),
+s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM b JOIN t USING (w) JOIN tf USING (w) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op12_resampling": RESAMPLING_SQL, "op13_ranked_search": RANKED_SEARCH_SQL, "op2_top_k": TOP_K_SQL, "op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
