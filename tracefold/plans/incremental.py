@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -186,9 +185,9 @@ def append_only_breaks(spark: SparkSession, d: str) -> DataFrame:
 def stream_streaks(spark: SparkSession, d: str) -> DataFrame:
     """The run with which each user's log ends, by a stateful stream over the events; held against `streaks` in tests."""
     from tracefold.streaming.reads import StreakTable
-    from tracefold.streaming.run import shared_folder
+    from tracefold.shared import fresh_path
 
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     log = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
-    base = f"{shared_folder(log)}/tracefold/streaks-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "streaks")
     return StreakTable(spark, f"{base}/runs").run(log, f"{base}/checkpoint")

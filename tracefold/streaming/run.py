@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-
-def shared_folder(df: DataFrame) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a local folder only where it is unset."""
-    conf = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (conf or "/tmp/tracefold-shared").rstrip("/")
+from tracefold.shared import fresh_path
 
 
 def to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there, batch by batch, as a table. A batch that runs twice overwrites its own part."""
-    base = f"{shared_folder(stream)}/tracefold/stream-{uuid.uuid4().hex}"
+    base = fresh_path(stream.sparkSession, "stream")
     put = lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
