@@ -49,17 +49,51 @@ def meta(html: Column, name: str) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments and tags, white space in single blanks."""
-    s = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(s, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    """The text of a page: no scripts, styles, drawings, templates, comments and tags, white space in single blanks."""
+    s = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|template)\b.*?</\1>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(s, r"(?s)<[^>]+>", " ")), r"\s+", " "))
+
+
+#: Levels of lists and graphs that one pass opens.
+LEVELS = 4
+
+
+def is_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
+def is_graph(v: Column) -> Column:
+    """A node that only stands for its @graph; an empty graph, null, false, 0 and "" are none."""
+    said = F.try_variant_get(v, "$['@graph']", "variant")
+    return said.isNotNull() & ~F.coalesce(F.try_variant_get(v, "$['@graph']", "string"), F.lit("-")).isin("", "0", "false", "null")
+
+
+def opened(nodes: Column) -> Column:
+    """array<variant>: lists and graphs give way to what they hold, LEVELS deep."""
+    graph = lambda v: F.array(F.try_variant_get(v, "$['@graph']", "variant"))
+    one = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(is_graph(v), graph(v)), F.array(v))
+    for _ in range(LEVELS):
+        nodes = F.flatten(F.transform(nodes, one))
+    return nodes
+
+
+def still_closed(nodes: Column) -> Column:
+    return F.exists(nodes, lambda v: is_list(v) | is_graph(v))
+
+
+def ld_blocks(html: Column) -> Column:
+    """array<variant> of the JSON-LD blocks that parse, as they stand."""
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    return F.filter(F.transform(blocks, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
+
+
+def is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
 
 
 def json_ld(html: Column) -> Column:
-    """array<variant> of the JSON-LD blocks that parse, lists and @graph members one by one."""
-    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
-    many = lambda v, path: F.try_variant_get(v, path, "array<variant>")
-    return F.flatten(F.transform(parsed, lambda v: F.coalesce(many(v, "$['@graph']"), many(v, "$"), F.array(v))))
+    """array<variant> of the objects of all JSON-LD blocks, those in lists and graphs one by one, LEVELS deep (see `facts.nodes` for any depth)."""
+    return F.filter(opened(ld_blocks(html)), is_object)
 
 
 def ld_string(block: Column, path: str) -> Column:
@@ -95,7 +129,8 @@ def feed_items(xml: Column) -> Column:
         out = F.lit("")
         for name in reversed(names):
             raw = F.regexp_replace(F.regexp_extract(item, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-            own = F.trim(strip_tags(raw))
+            # tags may be written as entities, and what they leave may hold entities again
+            own = strip_tags(decode_entities(raw))
             out = F.when(own != "", own).otherwise(out)
         return out
 

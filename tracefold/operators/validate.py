@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions import urls as U
 from tracefold.functions.addresses import STATES
 from tracefold.functions.dates import DAY, PARTIAL, STAMP
 from tracefold.operators import quality as Q
@@ -35,6 +36,11 @@ CLAIM_STATUSES = ("active", "rejected", "superseded")
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 CLAIM_ID = r"^[a-z0-9][a-z0-9._-]*$"
 WEB = r"^https?://\S+$"
+# The hosts on which a board's roles are applied for.
+PROVIDER_HOSTS = {
+    "greenhouse": ["greenhouse.io"], "lever": ["lever.co"], "workable": ["workable.com"], "ashby": ["ashbyhq.com"], "recruitee": ["recruitee.com"],
+    "breezy": ["breezy.hr"], "pinpoint": ["pinpointhq.com"], "bamboohr": ["bamboohr.com"], "teamtailor": ["teamtailor.com"], "rippling": ["rippling.com"],
+}
 #: A read stamps a board and its roles within this many seconds.
 SLACK = 90
 
@@ -191,7 +197,10 @@ def roles(rows: DataFrame, boards: DataFrame, now: datetime) -> DataFrame:
     """Open roles of a hiring desk against the last whole read of their boards.
 
     rows: id, source_id, provider, status, apply_url, duplicate_key, first_seen_at, last_confirmed_at, posted_at. boards:
-    source_id, status, last_success_at. Roles without a board are dated by their own clock and not held against one.
+    source_id, status, last_success_at. Roles without a board are dated by their own clock and not held against one. Where
+    rows have a column `website` (the employer's), links of a provider must lead to its hosts or to the employer's own; where
+    they have `au` and `remote_au` (a place in Australia, or work from it), one of them must hold. Links are held against each
+    other in their canonical form; roles without a duplicate key or a link are nobody's duplicate.
     """
     seconds = lambda c: F.unix_timestamp(c)
     b = boards.select("source_id", F.col("status").alias("__board"), F.col("last_success_at").alias("__read"))
@@ -211,7 +220,16 @@ def roles(rows: DataFrame, boards: DataFrame, now: datetime) -> DataFrame:
         "posted_after_confirmed": posted <= confirmed + 86400,
         "link": needed(F.col("apply_url").rlike(r"^https://\S+$")),
     }
-    again = rows.where("status = 'open'").groupBy("duplicate_key").agg(F.countDistinct("source_id").alias("n"), F.min("id").alias("id")).where("n > 1")
-    shared = rows.where("status = 'open'").groupBy("apply_url").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
+    if "website" in rows.columns:
+        own = U.host(F.col("website"))
+        hosts = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in PROVIDER_HOSTS.items() for x in kv])
+        allowed = F.concat(F.element_at(hosts, F.col("provider")), F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>")))
+        to = U.host(F.col("apply_url"))
+        rules["link_elsewhere"] = F.when(allowed.isNotNull() & to.isNotNull(), F.exists(allowed, lambda h: (to == h) | to.endswith(F.concat(F.lit("."), h))))
+    if "au" in rows.columns:
+        rules["not_in_australia"] = F.coalesce("au", F.lit(False)) | F.coalesce("remote_au", F.lit(False))
+    again = rows.where("status = 'open' AND duplicate_key IS NOT NULL").groupBy("duplicate_key").agg(F.countDistinct("source_id").alias("n"), F.min("id").alias("id")).where("n > 1")
+    link = F.coalesce(U.canonical_url(F.col("apply_url")), F.col("apply_url"))
+    shared = rows.where("status = 'open' AND apply_url IS NOT NULL").groupBy(link.alias("__link")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
     flag = lambda df, code: df.select(F.lit("roles").alias("table"), F.col("id").cast("string"), F.lit(code).alias("code"))
     return Q.all_violations([Q.violations("roles", j, "id", rules), Q.not_unique("roles", rows, ["id"]), flag(again, "on_two_boards"), flag(shared, "shared_link")])
