@@ -144,6 +144,29 @@ def test_min_max_estimates_similarity():
     assert abs(agree - 1500 / 2500) < 0.06
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """Planted pairs of similarity 0.75 to 0.76, which no hub connects: their sketches agree enough."""
+    r = np.random.default_rng(12)
+    lost = 0
+    for _ in range(400):
+        n = int(r.integers(40, 700))
+        union = r.integers(0, 2**63, n, dtype=np.uint64)
+        both = -(-75 * n // 100)
+        half = both + (n - both) // 2
+        a, b = union[:half], np.concatenate((union[:both], union[half:]))
+        first = [neardup.sketch(neardup.minmax(x)) for x in (a, b)]
+        more = [neardup.sketch(neardup.minmax(x, neardup.MORE)) for x in (a, b)]
+        agree = [np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) for x, y in (first, more)]
+        lost += agree[0] < neardup.LEAST_AGREE or agree[1] < neardup.LEAST_AGREE_MORE
+    assert lost == 0
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", "y", 3), (2, "a b c d e f", "z", "w", 4)], "doc_id long, text string, __doc string, doc string, id int")
+    got = {r.doc_id: (r["__doc"], r.doc, r.id, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: ("x", "y", 3, 1), 2: ("z", "w", 4, 1)}
+
+
 def test_near_edges(edge, nothing):
     out = neardup.near_duplicates(edge)
     assert set(out.columns) == {*edge.columns, "n_shingles", "component_id"} and out.count() == 13

@@ -55,6 +55,14 @@ def test_secret_edges(edge, nothing):
     assert full.columns == [*edge.columns, "secrets"]
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["__rules", "__s0", "__c0", "__base", "__more", "__doc", "doc", "rules", "c1"]
+    df = spark.createDataFrame([(1, "password=abcdefghijkl 1.2.3.4", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for found, column in ((secrets.find_secrets(df), "secrets"), (pii.find_pii(df, pii.train(spark)), "pii")):
+        row = found.first()
+        assert found.columns == [*df.columns, column] and [row[n] for n in names] == names and len(row[column]) == 1
+
+
 def test_pii_against_brute_force(spark):
     r = random.Random(6)
     bits = ["a.b", "@", "x-y", ".", "com", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "4111111111111111", "4111 1111-1111 1111", " ", "-", "+1 (555) 123-4567", "+", "12", "é", "\n", "%"]

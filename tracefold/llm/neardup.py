@@ -31,10 +31,11 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Links have 100 * intersection >= LINK * union.
 LINK = 75
 #: In step 3 members are compared by sketches, a byte for each signature value: first the values that the bands are made
-#: of, then those of SKETCHED more permutations. Pairs that agree on a lesser share are not compared on full sets. At
-#: similarity 0.75 the shares have standard deviations of 0.031 and 0.0125: a pair falls below either with a probability
-#: under 0.00005. Low halves of the band keys tell which bucket of a pair is the first that it shares.
-LEAST_AGREE, LEAST_AGREE_MORE = 0.62, 0.70
+#: of, then those of SKETCHED more permutations. Pairs that agree on a lesser share are not compared on full sets. By the
+#: binomial law for 200 and 1,000 independent values, chance agreement of bytes included, a pair of similarity 0.75 falls
+#: below the first bound with a probability of 0.0000009 and below the second with one of 0.0000002. Low halves of the band
+#: keys tell which bucket of a pair is the first that it shares.
+LEAST_AGREE, LEAST_AGREE_MORE = 0.60, 0.68
 SKETCHED = 500
 #: Members of a bucket that are compared at once in step 3.
 CHUNK = 1500
@@ -183,6 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like the new ones are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("n_shingles", "component_id", "kept")
+    columns = docs.columns
+    # names that no column of the caller has
+    docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    id_col, text_col = (f"c{columns.index(c)}" for c in (id_col, text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = materialize(source.mapInArrow(_sign, SIGNED), "signed")
     known = signed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
@@ -220,8 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc")).alias("component_id"))
     # rows of one id: one document, in the smallest of their components
     by_id = found.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    out = docs.join(by_id.withColumnRenamed("doc", "__doc"), docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
-    return out.withColumn("kept", F.col(id_col).cast("long").eqNullSafe(F.col("component_id")))
+    out = docs.join(by_id.withColumnRenamed("doc", "id"), F.col(id_col).cast("long") == F.col("id"), "left").drop("id")
+    return out.withColumn("kept", F.col(id_col).cast("long").eqNullSafe(F.col("component_id"))).toDF(*columns, "n_shingles", "component_id", "kept")
 
 
 def near_dup_digest(docs: DataFrame) -> DataFrame:

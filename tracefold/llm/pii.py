@@ -253,8 +253,10 @@ def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kinds may overlap, but a candidate inside a base span adds nothing and goes. Null and empty texts have no spans. Each row is matched on its own text, whatever its id; other
     columns pass through (a column named pii is replaced); an empty table gives an empty table.
     """
-    docs = docs.drop("pii")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    columns = docs.drop("pii").columns
+    # names that no column of the caller has
+    docs = docs.drop("pii").toDF(*[f"a{i}" for i in range(len(columns))])
+    text = F.coalesce(F.col(f"a{columns.index(text_col)}"), F.lit(""))
     scored_kinds = [i for i, g in enumerate(GENERATORS) if not g.base and model.least.get(g.kind, 2.0) <= 1]
     out = docs.withColumns({f"__c{i}": candidates(text, i) for i in scored_kinds})
     spans = {f"__s{i}": _valid(text, i) for i, g in enumerate(GENERATORS) if g.base} | {f"__s{i}": _selected(F.col(f"__c{i}"), i, model) for i in scored_kinds}
@@ -264,7 +266,7 @@ def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     more = F.concat(none, *[f"__s{i}" for i in scored_kinds])
     out = out.withColumn("__base", base).withColumn("__more", more)
     inside = lambda s: F.exists("__base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    return out.select(*docs.columns, F.array_sort(F.concat("__base", F.filter("__more", lambda s: ~inside(s)))).alias("pii"))
+    return out.select(*docs.columns, F.array_sort(F.concat("__base", F.filter("__more", lambda s: ~inside(s)))).alias("pii")).toDF(*columns, "pii")
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -191,9 +191,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
-    docs = docs.drop("secrets")
+    columns = docs.drop("secrets").columns
+    # names that no column of the caller has
+    docs = docs.drop("secrets").toDF(*[f"c{i}" for i in range(len(columns))])
+    id_col, text_col = (f"c{columns.index(c)}" for c in (id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs
     if indexed:
         postings = build_index(docs, sorted(set().union(*map(trigrams_of, indexed.values()))), id_col, text_col)
         cand = candidates(postings, indexed).toDF("__doc", "__rules").hint("shuffle_hash")
@@ -210,7 +212,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
             spans = F.when(text.rlike(r.pattern), spans)
         cols[f"__s{i}"] = F.coalesce(spans, none)
     own = own.withColumns(cols)
-    return own.select(*docs.columns, F.array_sort(F.concat(*cols)).alias("secrets"))
+    return own.select(*docs.columns, F.array_sort(F.concat(*cols)).alias("secrets")).toDF(*columns, "secrets")
 
 
 def joined(spans: Column) -> Column:
