@@ -34,26 +34,39 @@ def greedy_first(rivals: DataFrame) -> DataFrame:
     return all_ruled
 
 
-def closed_redirects(redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((old, new) with chains followed to their ends, (old) of those that run into a cycle and so have no end).
-
-    redirects: (old, new), one row for each old. Pointer jumping: a round doubles the length of all paths, so a chain of n
-    takes log2(n) rounds; what is not at an end after as many rounds as could matter goes round in circles.
-    """
+def _jumped(redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((old, new) that end, (old, new) that never do, `new` then being somewhere on the circle)."""
     step = saved(redirects.where("old IS NOT NULL AND new IS NOT NULL").groupBy("old").agg(F.min("new").alias("new")), "redirects")
     longest, reach = step.count(), 1
     while reach <= longest:
         onward = step.select(F.col("old").alias("new"), F.col("new").alias("next"))
         jumped = step.join(onward, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
         jumped = saved(jumped, "redirects")
-        reach *= 2
-        if not jumped.where("moved").limit(1).count():
-            step = jumped.drop("moved")
+        step, reach = jumped.drop("moved"), reach * 2
+        if jumped.where("moved").isEmpty():
             break
-        step = jumped.drop("moved")
     # an end is nobody's old name
-    endless = step.join(step.select(F.col("old").alias("new")), "new", "left_semi")
-    return step.join(endless.select("old"), "old", "left_anti"), endless.select("old")
+    endless = step.join(step.select(F.col("old").alias("new")), "new", "left_semi").select("old", "new")
+    return step.join(endless.select("old"), "old", "left_anti"), endless
+
+
+def closed_redirects(redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((old, new) with chains followed to their ends, (old) of those that run into a circle and so have no end).
+
+    redirects: (old, new), one row for each old. Pointer jumping: a round doubles the length of all paths, so a chain of n
+    takes log2(n) rounds; what is not at an end after as many rounds as could matter goes round in circles.
+    """
+    ends, endless = _jumped(redirects)
+    return ends, endless.select("old")
+
+
+def circles(parents: DataFrame) -> DataFrame:
+    """(node): the nodes of (old, new), one parent each, that are their own ancestors.
+
+    After as many steps as there are nodes everything endless stands on a circle, and every node of a circle is where one of
+    them stands.
+    """
+    return _jumped(parents)[1].select(F.col("new").alias("node")).distinct()
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:

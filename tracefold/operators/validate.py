@@ -15,6 +15,7 @@ from tracefold.functions import urls as U
 from tracefold.functions.addresses import STATES
 from tracefold.functions.dates import DAY, PARTIAL, STAMP
 from tracefold.operators import quality as Q
+from tracefold.operators.graph import circles
 
 # What a field with a closed set may say.
 COMPANY_STATUSES = ("active", "acquired", "defunct", "subsidiary")
@@ -233,3 +234,52 @@ def roles(rows: DataFrame, boards: DataFrame, now: datetime) -> DataFrame:
     shared = rows.where("status = 'open' AND apply_url IS NOT NULL").groupBy(link.alias("__link")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
     flag = lambda df, code: df.select(F.lit("roles").alias("table"), F.col("id").cast("string"), F.lit(code).alias("code"))
     return Q.all_violations([Q.violations("roles", j, "id", rules), Q.not_unique("roles", rows, ["id"]), flag(again, "on_two_boards"), flag(shared, "shared_link")])
+
+
+# States of a relationship, states of an investor's record, classes of roles, and keys of private details.
+RELATIONSHIP_STATUSES = ("verified", "unverified", "rejected")
+INVESTOR_STATUSES = ("candidate", "needs_review", "verified", "published", "inactive", "rejected")
+ROLE_CLASSES = ("investment", "scout", "talent", "platform", "other")
+PRIVATE_KEYS = ("email", "phone", "mobile", "telephone", "whatsapp", "signal", "home_address", "address", "contact")
+
+
+def investor_graph(organisations: DataFrame, people: DataFrame, memberships: DataFrame, investments: DataFrame, companies: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rules of the graph of investors.
+
+    organisations: id, name, slug, parent_id, verification_status; people: id, name, slug, current_organisation_id, role_class,
+    verification_status; memberships: id, person_id, organisation_id, role, source_id, note, verification_status, verified_at;
+    investments: id, investor_organisation_id, company_id, round, the same of source; sources: id, retrieved_at.
+
+    Every relationship names a page and what it says; one that is verified was read. An organisation owns nothing that owns
+    it, however far up. A role stands once for a person and an organisation, an investment once for an organisation, a company
+    and a round, in any case of letters. A person's record holds no private details.
+    """
+    named = {"id": needed(F.col("id").cast("string").rlike(CLAIM_ID)), "name": needed(F.trim("name") != ""), "slug": needed(F.col("slug").rlike(SLUG)), "status": needed(F.col("verification_status").isin(*INVESTOR_STATUSES))}
+    held = [k for k in PRIVATE_KEYS if k in people.columns]
+    person = named | {"role_class": F.col("role_class").isin(*ROLE_CLASSES)} | {f"private_{k}": F.col(k).isNull() for k in held}
+    read = sources.select(F.col("id").alias("source_id"), F.col("retrieved_at").alias("__read"), F.lit(True).alias("__source"))
+    related = {
+        "no_source_id": F.coalesce("__source", F.lit(False)), "note": needed(F.trim("note") != ""), "status": needed(F.col("verification_status").isin(*RELATIONSHIP_STATUSES)),
+        "verified_at": F.when(F.col("verification_status") == "verified", F.col("verified_at").isNotNull()),
+        "never_read": F.when((F.col("verification_status") == "verified") & F.col("__source"), F.col("__read").isNotNull()),
+    }
+    once = lambda rows, key: rows.groupBy(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in key]).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
+    flag = lambda name, df, code, id_col="id": df.select(F.lit(name).alias("table"), F.col(id_col).cast("string").alias("id"), F.lit(code).alias("code"))
+    owners = organisations.where("parent_id IS NOT NULL")
+    return Q.all_violations([
+        Q.violations("organisations", organisations, "id", named),
+        Q.violations("people", people, "id", person),
+        Q.violations("memberships", memberships.join(read, "source_id", "left"), "id", related),
+        Q.violations("investments", investments.join(read, "source_id", "left"), "id", related),
+        *[Q.not_unique(n, df, ["id"]) for n, df in (("organisations", organisations), ("people", people), ("memberships", memberships), ("investments", investments))],
+        *[Q.not_unique(f"{n}_slugs", df.where("slug IS NOT NULL"), ["slug"]) for n, df in (("organisations", organisations), ("people", people))],
+        Q.orphans("organisations", organisations, "id", "parent_id", organisations, "id"),
+        Q.orphans("people", people, "id", "current_organisation_id", organisations, "id"),
+        Q.orphans("memberships", memberships, "id", "person_id", people, "id"),
+        Q.orphans("memberships", memberships, "id", "organisation_id", organisations, "id"),
+        Q.orphans("investments", investments, "id", "investor_organisation_id", organisations, "id"),
+        Q.orphans("investments", investments, "id", "company_id", companies, "id"),
+        flag("memberships", once(memberships, ["person_id", "organisation_id", "role"]), "repeated"),
+        flag("investments", once(investments, ["investor_organisation_id", "company_id", "round"]), "repeated"),
+        flag("organisations", circles(owners.select(F.col("id").alias("old"), F.col("parent_id").alias("new"))), "owns_itself", "node"),
+    ])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import pages as P
 from tracefold.functions import urls as U
+from tracefold.operators import quotes
 from tracefold.plans.base import query
 from tracefold.session import table
 
@@ -71,34 +72,16 @@ def phrase_signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Quotes of fewer than seven words in a block; a block is sought at once, by scanning.
-SHORT_QUOTES = 1000
-
-
-@query("""
-WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark),
-t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)
+@query(r"""
+WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark),
+t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
 SELECT item_id, doc_id FROM q JOIN t ON contains(t, q)
-""".replace("\\\\", "\\"))
+""")
 def quote_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that say a quote. A quote is sought only where its first five words stand in a row, by a join on them."""
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    q = table(spark, d, "benchmark").select("item_id", flat(F.col("text")).alias("q"))
-    q = q.withColumn("w", F.split("q", " ")).withColumn("head", F.when(F.size("w") >= 7, F.array_join(F.slice("w", 2, 5), " ")))
-    t = table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("t"))
-    words = t.select("doc_id", "t", F.split("t", " ").alias("w"))
-    # whole words only: the first and the last of a quote may be parts of words, those between them are not
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    heads = words.where(F.size("w") >= 5).select("doc_id", F.explode(runs).alias("head")).join(q.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
-    long = heads.join(q.select("item_id", "q"), "item_id").join(t, "doc_id").where(F.contains("t", "q"))
-    few = q.where("head IS NULL").select("item_id", "q")
-    n = few.count()
-    # more than one block: each block meets each part of the documents in a task of its own
-    few = F.broadcast(few) if n <= SHORT_QUOTES else few.repartition(-(-n // SHORT_QUOTES))
-    short = t.join(few, F.contains("t", "q"))
-    return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
-
-
+    """Documents that say a benchmark item."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    found = quotes.say(texts, table(spark, d, "benchmark").select(F.col("item_id").alias("quote"), "text"))
+    return found.select(F.col("quote").alias("item_id"), F.col("doc").alias("doc_id"))
 
 
 @query("""
