@@ -63,9 +63,9 @@ def is_list(v: Column) -> Column:
 
 
 def is_graph(v: Column) -> Column:
-    """A node that only stands for its @graph; an empty graph, null, false, 0 and "" are none."""
+    """A node that only stands for its @graph; null, false, 0 and "" are none."""
     said = F.try_variant_get(v, "$['@graph']", "variant")
-    return said.isNotNull() & ~F.coalesce(F.try_variant_get(v, "$['@graph']", "string"), F.lit("-")).isin("", "0", "false", "null")
+    return said.isNotNull() & ~F.is_variant_null(said) & ~F.coalesce(F.try_variant_get(v, "$['@graph']", "string"), F.lit("-")).isin("", "0", "false")
 
 
 def opened(nodes: Column) -> Column:

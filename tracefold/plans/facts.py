@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.functions import urls as U
 from tracefold.operators import facts
 from tracefold.plans.base import query
 from tracefold.session import table
@@ -56,9 +55,9 @@ def job_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def site_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the pages of a host are about the company of its registrable domain; tests hold the operator against the rules one by one."""
+    """Whether the pages of a host are about the company of the label before its domain; tests hold the operator against the rules one by one."""
     pages = described(spark, d)
     found = facts.page_facts(pages).join(pages.select(F.col("page_id").alias("page"), F.col("host").alias("site")), "page")
-    label = F.element_at(F.split(U.registrable_domain(U.host(F.col("site"))), r"\."), 1)
+    label = F.element_at(F.split("site", r"\."), -3)
     sites = pages.groupBy(F.col("host").alias("site")).agg(F.min("page_id").alias("home")).withColumn("name", label)
     return facts.site_verdicts(found, sites)
