@@ -33,7 +33,7 @@ def pending_submissions(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "submissions")
     rows.select([c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(path)
     register(spark)
-    read = spark.read.format("submissions").option("path", path).option("page", "500").load().where("status = 'pending'")
+    read = spark.read.format("submissions").option("path", path).option("page", "500").option("status", "pending").load()
     return leads(read).select("key", "name", "website", "description", "stage", "claims")
 
 

@@ -4,7 +4,6 @@ retries that wait, timed by the events themselves."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -15,30 +14,32 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tracefold.operators.incremental import LEASE_MINUTES, MAX_ATTEMPTS, RETRY_MINUTES
 
 STATE = (
-    T.StructType().add("status", T.StringType()).add("attempts", T.IntegerType()).add("priority", T.IntegerType()).add("not_before", T.TimestampType())
-    .add("lease_until", T.TimestampType()).add("at", T.TimestampType()).add("changes", T.LongType())
+    T.StructType().add("status", T.StringType()).add("attempts", T.IntegerType()).add("priority", T.IntegerType()).add("not_before", T.LongType())
+    .add("lease_until", T.LongType()).add("at", T.LongType()).add("changes", T.LongType())
 )
 OUT = T.StructType([T.StructField("task", T.StringType()), *STATE.fields])
 FIELDS = STATE.names
+#: Moments are milliseconds, so that no time zone plays a part.
+MINUTE, MOMENTS = 60_000, ("not_before", "lease_until", "at")
 #: What a task is before anything is known of it.
 NEW = {"status": None, "attempts": 0, "priority": 0, "not_before": None, "lease_until": None, "at": None, "changes": 0}
 
 
-def failed(task: dict, at: datetime) -> dict:
+def failed(task: dict, at: int) -> dict:
     """One attempt more has failed: queued again after a wait, or given up at the last."""
     attempts = task["attempts"] + 1
     again = attempts < MAX_ATTEMPTS
-    wait = timedelta(minutes=RETRY_MINUTES[min(attempts, len(RETRY_MINUTES)) - 1])
+    wait = MINUTE * RETRY_MINUTES[min(attempts, len(RETRY_MINUTES)) - 1]
     return task | {"status": "queued" if again else "failed", "attempts": attempts, "not_before": at + wait if again else None, "lease_until": None, "at": at}
 
 
-def expired(task: dict, now: datetime) -> dict:
+def expired(task: dict, now: int) -> dict:
     """The task at a moment: a lease that is over by then has failed when it ended."""
     over = task["status"] == "running" and task["lease_until"] <= now
     return failed(task, task["lease_until"]) | {"changes": task["changes"] + 1} if over else task
 
 
-def step(task: dict, kind: str, at: datetime, priority: int | None) -> dict:
+def step(task: dict, kind: str, at: int, priority: int | None) -> dict:
     """The task after one event; events that its state does not allow, and those from before its last change, change nothing."""
     task = expired(task, at)
     if task["at"] is not None and at < task["at"]:
@@ -50,7 +51,7 @@ def step(task: dict, kind: str, at: datetime, priority: int | None) -> dict:
         else:
             after = NEW | {"status": "queued", "priority": priority or 0, "changes": task["changes"]}
     elif kind == "claim" and status == "queued" and (task["not_before"] is None or task["not_before"] <= at):
-        after = task | {"status": "running", "not_before": None, "lease_until": at + timedelta(minutes=LEASE_MINUTES)}
+        after = task | {"status": "running", "not_before": None, "lease_until": at + MINUTE * LEASE_MINUTES}
     elif kind == "done" and status == "running":
         after = task | {"status": "done", "lease_until": None}
     elif kind == "fail" and status == "running":
@@ -69,31 +70,27 @@ class Queue(StatefulProcessor):
 
     def _write(self, key: Any, before: dict, after: dict) -> Iterator[Row]:
         for lease in {before["lease_until"]} - {after["lease_until"], None}:
-            self.handle.deleteTimer(_millis(lease))
+            self.handle.deleteTimer(lease)
         if after["lease_until"] is not None and after["lease_until"] != before["lease_until"]:
-            self.handle.registerTimer(_millis(after["lease_until"]))
+            self.handle.registerTimer(after["lease_until"])
         if after["changes"] != before["changes"]:
             self.state.update(tuple(after[f] for f in FIELDS))
             yield Row(task=key[0], **after)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = after = self._read()
-        for r in sorted(rows, key=lambda r: (r.at, r.tie)):
-            after = step(after, r.kind, r.at, r.priority)
+        for r in sorted(rows, key=lambda r: (r.ms, r.tie)):
+            after = step(after, r.kind, r.ms, r.priority)
         yield from self._write(key, before, after)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         before = self._read()
-        yield from self._write(key, before, expired(before, datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)))
+        yield from self._write(key, before, expired(before, expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
         pass
 
 
-def _millis(at: datetime) -> int:
-    return int(at.timestamp() * 1000)
-
-
 def queue_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream of the tasks that change: task, status, attempts, priority, not_before, lease_until, at, changes.
 
@@ -101,8 +98,9 @@ def queue_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
     state store (RocksDB is needed); what comes later than `late` is left out. The latest state of a task is the row of most
     changes.
     """
-    held = events.select(F.col("task").cast("string").alias("task"), "kind", F.date_trunc("millisecond", "at").alias("at"), F.col("priority").cast("int").alias("priority"), F.col("tie").cast("long").alias("tie"))
-    return held.withWatermark("at", late).groupBy("task").transformWithState(Queue(), OUT, "Update", "EventTime")
+    held = events.select(F.col("task").cast("string").alias("task"), "kind", F.col("at").cast("timestamp").alias("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("ms"), F.col("priority").cast("int").alias("priority"), F.col("tie").cast("long").alias("tie"))
+    states = held.withWatermark("at", late).groupBy("task").transformWithState(Queue(), OUT, "Update", "EventTime")
+    return states.withColumns({c: F.timestamp_millis(c) for c in MOMENTS})
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
