@@ -145,6 +145,66 @@ def weak(claims: DataFrame, stored: DataFrame, c: Claims, key: str) -> DataFrame
     return support.groupBy(c.subject, c.field).agg(F.max(rank(F.col(c.confidence))).alias("best"), F.count(F.lit(1)).alias("rows")).where("best = 1").drop("best")
 
 
+#: Types whose equality has no key.
+MONEY, PLACE = "money", "place"
+
+
+def judged(claims: DataFrame, stored: DataFrame, c: Claims, order: str) -> DataFrame:
+    """(subject, field, values, rows, best, stated, agrees): what the sources of each field come to, equality by the field's type.
+
+    claims: subject, field, type, value (text), amount and currency (for money), confidence and `order`, the place of a claim.
+    stored: subject, field, stored_value, stored_amount, stored_currency. values: how many different ones are claimed; agrees:
+    where they are one, whether the record says the same. An amount without a currency equals any of its size, an address one
+    of its street and postcode.
+    """
+    s = stored.select(c.subject, c.field, "stored_value", "stored_amount", "stored_currency")
+    keyed = claims.where(~F.col("type").isin(MONEY, PLACE)).withColumn("__key", value_key(F.col("type"), F.col(c.field), F.col(c.value)))
+    types = keyed.select(c.subject, c.field, "type").groupBy(c.subject, c.field).agg(F.min("type").alias("type"))
+    by_key = distinct_values(keyed.where("__key IS NOT NULL"), c, "__key")
+    by_key = _counted(by_key.withColumnRenamed("__key", "value"), c).join(types, [c.subject, c.field]).join(s, [c.subject, c.field], "left")
+    of_key = by_key.withColumn("agrees", F.col("first") == value_key(F.col("type"), F.col(c.field), F.col("stored_value"))).withColumn("stated", F.col("stored_value").isNotNull())
+    sums = grouped_values(claims.where((F.col("type") == MONEY) & F.col("amount").isNotNull()), c, order, money(F.col("amount"), F.col("currency")), same_money)
+    of_sums = _counted(sums, c).join(s, [c.subject, c.field], "left")
+    of_sums = of_sums.withColumn("agrees", same_money(F.col("first"), money(F.col("stored_amount"), F.col("stored_currency")))).withColumn("stated", F.col("stored_amount").isNotNull())
+    places = grouped_values(claims.where((F.col("type") == PLACE) & F.col(c.value).isNotNull()), c, order, place(F.col(c.value)), same_place)
+    of_places = _counted(places, c).join(s, [c.subject, c.field], "left")
+    of_places = of_places.withColumn("agrees", same_place(F.col("first"), place(F.col("stored_value")))).withColumn("stated", F.col("stored_value").isNotNull())
+    columns = [c.subject, c.field, "values", "rows", "best", "stated", "agrees"]
+    return of_key.select(columns).unionByName(of_sums.select(columns)).unionByName(of_places.select(columns))
+
+
+def _counted(values: DataFrame, c: Claims) -> DataFrame:
+    """(subject, field, values, rows, best, first) of the different values of each field."""
+    return values.groupBy(c.subject, c.field).agg(F.count(F.lit(1)).alias("values"), F.sum("rows").alias("rows"), F.max("best").alias("best"), F.first("value").alias("first"))
+
+
+def typed_conflicts(claims: DataFrame, stored: DataFrame, c: Claims, order: str) -> DataFrame:
+    """(subject, field, kind, values): like `conflicts`, with money and places compared as such."""
+    kind = F.when(F.col("values") > 1, "sources_disagree").when(F.col("stated") & ~F.coalesce("agrees", F.lit(False)), "stored_differs")
+    return judged(claims, stored, c, order).withColumn("kind", kind).where("kind IS NOT NULL").select(c.subject, c.field, "kind", "values")
+
+
+def typed_unapplied(claims: DataFrame, stored: DataFrame, c: Claims, order: str) -> DataFrame:
+    """(subject, field, best_confidence): like `unapplied`, with money and places compared as such."""
+    return judged(claims, stored, c, order).where("values = 1 AND NOT stated").select(c.subject, c.field, label(F.col("best")).alias("best_confidence"))
+
+
+def says_the_same(c: Claims) -> Column:
+    """Whether a claim says what the record says, by the type of its field."""
+    by_sum = same_money(money(F.col("amount"), F.col("currency")), money(F.col("stored_amount"), F.col("stored_currency")))
+    by_place = same_place(place(F.col(c.value)), place(F.col("stored_value")))
+    by_key = value_key(F.col("type"), F.col(c.field), F.col(c.value)) == value_key(F.col("type"), F.col(c.field), F.col("stored_value"))
+    return F.when(F.col("type") == MONEY, by_sum).when(F.col("type") == PLACE, by_place).otherwise(by_key)
+
+
+def typed_confidence(claims: DataFrame, stored: DataFrame, c: Claims, weights: dict[str, float]) -> DataFrame:
+    """(subject, score, label): like `confidence`, with money and places compared as such."""
+    mine = stored.where(F.coalesce(F.col("stored_value"), F.col("stored_amount").cast("string")).isNotNull() & F.col(c.field).isin(*weights))
+    j = mine.join(claims.select(c.subject, c.field, "type", c.value, "amount", "currency", c.confidence), [c.subject, c.field], "left")
+    j = j.withColumn("stored_key", F.lit("same")).withColumn("__same", F.when(F.col("type").isNotNull(), F.when(F.coalesce(says_the_same(c), F.lit(False)), "same").otherwise("other")))
+    return _weighted(j, c, "__same", weights)
+
+
 def coverage(claims: DataFrame, c: Claims) -> DataFrame:
     """Claims and subjects of each field."""
     return claims.groupBy(c.field).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(c.subject).alias("subjects"))
@@ -158,14 +218,13 @@ def reliability(support: Column, differing: Column, best: Column) -> Column:
 
 def confidence(claims: DataFrame, stored: DataFrame, c: Claims, key: str, weights: dict[str, float]) -> DataFrame:
     """(subject, score, label): the weighted mean of the reliability of all stored fields."""
-    names = list(weights)
-    mine = stored.where(F.col("stored_key").isNotNull() & F.col(c.field).isin(*names))
+    mine = stored.where(F.col("stored_key").isNotNull() & F.col(c.field).isin(*weights))
+    return _weighted(mine.join(claims.select(c.subject, c.field, key, c.confidence), [c.subject, c.field], "left"), c, key, weights)
+
+
+def _weighted(j: DataFrame, c: Claims, key: str, weights: dict[str, float]) -> DataFrame:
     same = F.col(key) == F.col("stored_key")
-    per = (
-        mine.join(claims.select(c.subject, c.field, key, c.confidence), [c.subject, c.field], "left")
-        .groupBy(c.subject, c.field)
-        .agg(F.count_if(same).alias("support"), F.count_if(~same).alias("differing"), F.max(F.when(same, rank(F.col(c.confidence)))).alias("best"))
-    )
+    per = j.groupBy(c.subject, c.field).agg(F.count_if(same).alias("support"), F.count_if(~same).alias("differing"), F.max(F.when(same, rank(F.col(c.confidence)))).alias("best"))
     weight = F.lit(1.0)
     for k, w in weights.items():
         weight = F.when(F.col(c.field) == k, float(w)).otherwise(weight)

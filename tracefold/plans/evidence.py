@@ -147,3 +147,62 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     sources = s.select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_acctbal") > 1000, "press").otherwise("private").alias("kind"), F.concat(F.lit("https://x.example/"), "s_name").alias("url"), F.col("s_name").alias("title"))
     p = E.provenance(rows, roles, sources, ["press"])
     return p.select("company_id", "checked_at", F.array_join(F.transform("sources", lambda x: x["title"]), ",").alias("sources"))
+
+
+#: The lines of an order as claims of its status, a sum of money, and a place.
+TYPED_SQL = """
+c AS (SELECT l_orderkey AS company_id, l_linenumber AS pos, l_linestatus AS st, (l_quantity::BIGINT % 2)::DOUBLE AS amount, CASE l_linenumber % 3 WHEN 1 THEN 'AUD' WHEN 2 THEN 'USD' END AS currency,
+  l_suppkey % 4 AS p, CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 15 THEN 2 ELSE 1 END AS r FROM lineitem),
+m AS (SELECT *, first_value(currency) OVER (PARTITION BY company_id, amount ORDER BY pos, currency NULLS FIRST) AS fc FROM c),
+q AS (SELECT company_id, CASE WHEN arg_min(p, (pos, [0, 3, 1, 2][p + 1])) = 3 THEN 1 ELSE count(DISTINCT CASE p WHEN 2 THEN 9 WHEN 3 THEN NULL ELSE 1 END) END AS n FROM c GROUP BY company_id)"""
+
+
+def typed_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    confidence = F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low")
+    said = F.element_at(F.array(*map(F.lit, ("1 High St, Perth WA 6000", "Unit 2, 1 High Street, Perth 6000", "9 Low Rd, Perth WA 6000", "Perth WA 6000"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    none, line = F.lit(None).cast("string"), F.col("l_linenumber")
+    currency = F.when(line % 3 == 1, "AUD").when(line % 3 == 2, "USD")
+    cell = lambda field, kind, value, amount, unit: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("type"), value.alias("value"), amount.alias("amount"), unit.alias("currency"))
+    no_sum = F.lit(None).cast("double")
+    each = F.array(cell("status", "state", F.col("l_linestatus"), no_sum, none), cell("price", E.MONEY, none, (F.col("l_quantity").cast("long") % 2).cast("double"), currency), cell("address", E.PLACE, said, no_sum, none))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("company_id"), line.alias("pos"), confidence.alias("confidence"), F.explode(each).alias("c")).select("company_id", "pos", "confidence", "c.*")
+    k = F.col("o_orderkey")
+    own = F.array(
+        F.struct(F.lit("status").alias("field"), F.when(F.col("o_orderstatus").isin("O", "F"), F.col("o_orderstatus")).alias("stored_value"), no_sum.alias("stored_amount"), none.alias("stored_currency")),
+        F.struct(F.lit("price").alias("field"), none.alias("stored_value"), F.when(k % 3 > 0, (k % 2).cast("double")).alias("stored_amount"), F.when(k % 5 == 0, "AUD").alias("stored_currency")),
+        F.struct(F.lit("address").alias("field"), F.when(k % 4 == 1, "1 HIGH STREET Perth WA 6000").when(k % 4 == 2, "6000").alias("stored_value"), no_sum.alias("stored_amount"), none.alias("stored_currency")),
+    )
+    return rows, table(spark, d, "orders").select(k.alias("company_id"), F.explode(own).alias("s")).select("company_id", "s.*")
+
+
+@query(f"""
+WITH {TYPED_SQL},
+o AS (SELECT o_orderkey AS company_id, CASE WHEN o_orderstatus IN ('O', 'F') THEN o_orderstatus END AS st, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 2)::DOUBLE END AS amount, CASE WHEN o_orderkey % 5 = 0 THEN 'AUD' END AS cur, o_orderkey % 4 AS k FROM orders),
+sm AS (SELECT company_id, count(*) AS n, min(amount) AS amount, min(cur) AS cur FROM (SELECT DISTINCT company_id, amount, CASE WHEN fc IS NOT NULL THEN coalesce(currency, fc) END AS cur FROM m) GROUP BY company_id),
+sp AS (SELECT q.company_id, q.n, arg_min(c.p, (c.pos, [0, 3, 1, 2][c.p + 1])) AS p FROM q JOIN c USING (company_id) GROUP BY ALL),
+j AS (
+  SELECT c.company_id, 'status' AS field, count(DISTINCT c.st) AS n, any_value(o.st) IS NOT NULL AND any_value(o.st) <> min(c.st) AS differs FROM c LEFT JOIN o ON o.company_id = c.company_id GROUP BY c.company_id
+  UNION ALL SELECT sm.company_id, 'price', sm.n, o.amount IS NOT NULL AND NOT (o.amount = sm.amount AND coalesce(o.cur = sm.cur, true)) FROM sm LEFT JOIN o ON o.company_id = sm.company_id
+  UNION ALL SELECT sp.company_id, 'address', sp.n, k IN (1, 2) AND NOT (k = 2 OR sp.p <> 2) FROM sp LEFT JOIN o ON o.company_id = sp.company_id)
+SELECT company_id, field, CASE WHEN n > 1 THEN 'sources_disagree' ELSE 'stored_differs' END AS kind, n::BIGINT AS "values" FROM j WHERE n > 1 OR differs
+""")
+def typed_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts of statuses, sums (a missing currency fits any) and addresses (by street and postcode)."""
+    rows, own = typed_claims(spark, d)
+    return E.typed_conflicts(rows, own, COLUMNS, "pos")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS company_id, l_linestatus AS st, (l_quantity::BIGINT % 2)::DOUBLE AS amount, CASE l_linenumber % 3 WHEN 1 THEN 'AUD' WHEN 2 THEN 'USD' END AS currency, l_suppkey % 4 AS p,
+  CASE WHEN l_quantity > 40 THEN 1.0 WHEN l_quantity > 15 THEN 0.7 ELSE 0.4 END::DOUBLE AS r FROM lineitem),
+o AS (SELECT o_orderkey AS id, o_orderstatus AS st, (o_orderkey % 2)::DOUBLE AS amount, CASE WHEN o_orderkey % 5 = 0 THEN 'AUD' END AS cur, o_orderkey % 4 AS k FROM orders),
+f AS (SELECT id, 'status' AS field, 4.0::DOUBLE AS w FROM o WHERE st IN ('O', 'F') UNION ALL SELECT id, 'price', 2.0 FROM o WHERE id % 3 > 0 UNION ALL SELECT id, 'address', 1.0 FROM o WHERE k IN (1, 2)),
+j AS (SELECT f.id, f.field, f.w, c.r, CASE WHEN c.company_id IS NULL THEN NULL WHEN field = 'status' THEN c.st = o.st WHEN field = 'price' THEN c.amount = o.amount AND coalesce(c.currency = o.cur, true) ELSE k = 2 OR c.p <> 2 END AS same
+  FROM f JOIN o ON o.id = f.id LEFT JOIN c ON c.company_id = f.id),
+v AS (SELECT id, field, any_value(w) AS w, coalesce(max(r) FILTER (WHERE same), 0.25) AS own, count(*) FILTER (WHERE NOT same) AS other FROM j GROUP BY ALL),
+s AS (SELECT id AS company_id, round(sum(w * CASE WHEN other > 0 THEN least(own, 0.2) ELSE own END) / sum(w), 2) AS score FROM v GROUP BY id)
+SELECT company_id, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS label FROM s
+""")
+def typed_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows, own = typed_claims(spark, d)
+    return E.typed_confidence(rows, own, COLUMNS, {"status": 4, "price": 2, "address": 1})
