@@ -5,10 +5,12 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_groups, brute_lines, sets_of
 from tracefold.llm import gru, langid
+from tracefold.llm.tokens import tokenizer_path
 
 
 def test_gradient_is_that_of_the_loss():
@@ -43,6 +45,23 @@ def larger(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
+def test_whole_documents_against_a_loop_over_places(larger):
+    """The mean over all bytes of a text, window by window, from the states one after another."""
+    langs, net = langid.learn(larger)
+    rows = [r for r in larger.orderBy("doc_id").limit(30).collect() if r.text and any(map(str.isalpha, r.text))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(larger.where(F.col("doc_id").isin([r.doc_id for r in rows])), (langs, net)).collect()}
+    for r in rows:
+        raw, total = np.frombuffer(r.text.encode(), dtype=np.uint8), np.zeros(len(langs))
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW][:, None]
+            runs = {s: gru._run(net, s, window) for s in "fb"}
+            logits = np.einsum("lh,thn->tln", net["Vf"], runs["f"]["out"]) + np.einsum("lh,thn->tln", net["Vb"], runs["b"]["out"]) + net["d"]
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total += (p / p.sum(axis=1, keepdims=True)).sum(axis=(0, 2))
+        mean = total / len(raw)
+        assert got[r.doc_id][0] == langs[int(mean.argmax())] and abs(got[r.doc_id][1] - mean.max()) < 1e-3
+
+
 def test_held_out_accuracy(larger):
     found = {r.doc_id: r for r in langid.language_digest(larger).collect()}
     truth = {r.doc_id: r.lang for r in larger.select("doc_id", "lang").collect()}
@@ -115,6 +134,38 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert kept[0] == kept[1] >= kept[2] > kept[3] > 0
 
 
+def test_run_is_its_stages_one_after_another(spark, tmp_path):
+    """run() itself, against plain versions of the stages that have one and its own two trained or packed ends."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    known = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in known}
+    lines = {}
+    for doc, text in sorted(texts.items()):
+        for key in {x.strip(" \t\n\x0b\x0c\r").translate(LOWER) for x in (text or "").split("\n")}:
+            lines.setdefault(key, []).append(doc)
+    lost = {k: v[0] for k, v in lines.items() if len(k) >= 10 and len(v) > 1}
+    texts = {doc: "\n".join(x for x in (text or "").split("\n") if lost.get(x.strip(" \t\n\x0b\x0c\r").translate(LOWER), doc) == doc) for doc, text in texts.items()}
+    texts = {doc: texts[doc] for doc, _, _, kept in brute_groups(sorted(texts.items())) if kept}
+    items = [s for s in (sets_of(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()) if s]
+    texts = {doc: text for doc, text in texts.items() if not any(100 * len(s & sets_of(text)) >= 75 * len(s) for s in items)}
+    encoder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = {(doc, start, crc) for doc, text in texts.items() for start, crc in pieces_of([*encoder.encode(text, add_special_tokens=False).ids, 1])}
+    got = corpus_pipeline.run(spark, d).collect()
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 4096
+
+
+def pieces_of(ids):
+    return [(at, zlib.crc32(np.array(ids[at : at + 4096], dtype="<u4").tobytes())) for at in range(0, len(ids), 4096)]
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def test_stages_keep_columns_of_any_name(spark, edge, nothing):
     """Nulls, repeated rows, no rows, and columns named like results go through every stage as they are."""
     d = "/root/testdata/sf0.001"

@@ -106,6 +106,22 @@ SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles FRO
 """
 
 
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*)::BIGINT AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * hits >= 75 * (x.n + y.n - hits)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
 def _secret_sql() -> str:
     """All rules scanned over every text, with the places of the matches summed from the texts between them."""
     from tracefold.llm.secrets import BASE_RULES, RULES
@@ -173,4 +189,4 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT * FROM r WHERE rank <= 10
 """
 
-SQL: dict[str, str] = {"op12_resampling": RESAMPLING_SQL, "op13_ranked_search": RANKED_SEARCH_SQL, "op2_top_k": TOP_K_SQL, "op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op5_near_dup": NEAR_DUP_SQL, "op12_resampling": RESAMPLING_SQL, "op13_ranked_search": RANKED_SEARCH_SQL, "op2_top_k": TOP_K_SQL, "op1_secret_scan": _secret_sql(), "op6_benchmark_leaks": LEAKS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
