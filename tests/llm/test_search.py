@@ -58,7 +58,7 @@ def sets(text):
 def test_containment_against_brute_force(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
-    items = [" ".join(word() for _ in range(n)) for n in (5, 9, 12, 20, 40, 70, 200, 3)] + ["", None]
+    items = [" ".join(word() for _ in range(n)) for n in (5, 9, 12, 20, 40, 70, 200, 3, 4, 2)] + ["", None]
     docs = []
     for n in range(120):
         parts = [word() for _ in range(r.randint(0, 900))]
@@ -70,7 +70,12 @@ def test_containment_against_brute_force(spark):
             parts[at:at] = words
         docs.append(" ".join(parts))
     docs += ["", None, items[7], items[7].upper()]
-    want = sorted((d, i, len(sets(x) & sets(y)), len(sets(y))) for d, x in enumerate(docs) for i, y in enumerate(items) if sets(y) and 100 * len(sets(x) & sets(y)) >= 75 * len(sets(y)))
+    docs += [" ".join([word(), *items[8].split(), word()]), items[8].upper(), items[9], f"{items[9]} and more", " ".join(items[8].split()[:3])]
+    row = lambda x: " " + " ".join((x or "").lower().split()) + " "
+    short = lambda y: len((y or "").split()) in (3, 4)
+    want = [(d, i, len(sets(x) & sets(y)), len(sets(y))) for d, x in enumerate(docs) for i, y in enumerate(items) if not short(y) and sets(y) and 100 * len(sets(x) & sets(y)) >= 75 * len(sets(y))]
+    want = sorted(want + [(d, i, 1, 1) for d, x in enumerate(docs) for i, y in enumerate(items) if short(y) and row(y) in row(x)])
+    assert len({i for _, i, *_ in want}) == 10
     a = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert sorted(map(tuple, D.contaminated(a, b).collect())) == want

@@ -8,6 +8,10 @@ agree on one of these 64 values are a candidate pair, which the full sets then c
 is missed with a probability below 0.75^64 = 1e-8, one of which it holds three quarters with 5e-6.
 
 Window minima of all classes come from one pass over the shingles: those of larger classes are minima of smaller ones.
+
+An item of fewer words than a shingle is one run of all its words, and is sought among the runs of as many words in the
+documents, from LEAST_WORDS words on. An item of one or two words is only found in a document of just these words: else every
+document that uses a common word would hold it.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracefold.llm.shingles import Words, blocks, rows_of, shingles, words
+from tracefold.llm.shingles import WORDS, Words, blocks, rows_of, shingles, words
 
 PERMUTATIONS = 32
 #: An item is found in a document that holds so many hundredths of its shingles.
 CONTAINED = 75
+#: The fewest words of an item that is sought inside longer documents.
+LEAST_WORDS = 3
 #: Items that are searched in one pass over the documents; it bounds the index that is sent to the tasks.
 ITEMS = 50_000
 #: Bits of the table that turns away most window values before the exact look-up.
@@ -56,15 +62,21 @@ class Index:
     ids: list
     sets: list[np.ndarray]
     classes: list[SizeClass]
+    #: For each number of words below that of a shingle: the hashes of such items in order, and the items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def build_index(rows: list[tuple]) -> Index:
     """The index of some items (id, text). Items without words are in no class and never found."""
-    s = shingles(words([r[1] for r in rows]))
+    w = words([r[1] for r in rows])
+    s = shingles(w)
     sets = [np.unique(s.hashes[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
     by_class: dict[int, list[int]] = {}
-    for i, x in enumerate(sets):
-        if len(x):
+    by_words: dict[int, list[int]] = {}
+    for i, (x, n) in enumerate(zip(sets, np.diff(w.first).tolist(), strict=True)):
+        if LEAST_WORDS <= n < WORDS:
+            by_words.setdefault(n, []).append(i)
+        elif len(x):
             by_class.setdefault(2 ** len(x).bit_length(), []).append(i)
     classes = []
     for u, items in sorted(by_class.items()):
@@ -78,7 +90,26 @@ def build_index(rows: list[tuple]) -> Index:
             for kind in (0, 1):
                 table[_cell(ends[kind], k, kind)] = True
         classes.append(SizeClass(u, np.array(items), values, owners, table))
-    return Index([r[0] for r in rows], sets, classes)
+    short = {}
+    for n, items in sorted(by_words.items()):
+        hashes = shingles(words([rows[i][1] for i in items]), n).hashes
+        order = np.argsort(hashes, kind="stable")
+        short[n] = hashes[order], np.array(items)[order]
+    return Index([r[0] for r in rows], sets, classes, short)
+
+
+def short_matches(w: Words, index: Index) -> list[tuple[int, int, int]]:
+    """(text, item, 1) of the items of few words that stand in a row in a text."""
+    out = set()
+    for n, (hashes, items) in index.short.items():
+        run = shingles(w, n)
+        left, right = np.searchsorted(hashes, run.hashes, "left"), np.searchsorted(hashes, run.hashes, "right")
+        for at in np.flatnonzero(left < right):
+            text = int(np.searchsorted(run.first, at, "right")) - 1
+            # the one run of a shorter text is no run of n words
+            if w.first[text + 1] - w.first[text] >= n:
+                out.update((text, int(i), 1) for i in items[left[at] : right[at]])
+    return sorted(out)
 
 
 def _starts(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +149,9 @@ def candidates(s: Words, index: Index) -> set[tuple[int, int]]:
 
 def matches(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]:
     """(text, item, shared shingles) of all items that the texts hold, confirmed on full sets."""
-    s = shingles(words(texts))
-    out = []
+    w = words(texts)
+    s = shingles(w)
+    out = short_matches(w, index)
     held: dict[int, np.ndarray] = {}
     for d, i in sorted(candidates(s, index)):
         if d not in held:
@@ -127,7 +159,7 @@ def matches(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]
         shared = len(np.intersect1d(held[d], index.sets[i], assume_unique=True))
         if 100 * shared >= CONTAINED * len(index.sets[i]):
             out.append((d, i, shared))
-    return out
+    return sorted(out)
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -166,8 +198,8 @@ def _clean(index, text_at: int) -> Callable:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, shared, item_shingles): each document row with each benchmark item of which it holds CONTAINED %.
 
-    Sets hold distinct 5-word shingles, A-Z lower-cased, or the whole sequence of fewer words, so that an item of fewer
-    than five words is found only in a document of just these words. Null and empty texts hold nothing; items without words
+    Sets hold distinct 5-word shingles, A-Z lower-cased, or the whole sequence of fewer words. An item of three or four words
+    is held by a document that says them in a row, one of one or two words by a document of just these words. Null and empty texts hold nothing; items without words
     are in no document; a null id stays null; repeated rows give repeated pairs. Other columns are not read; empty tables
     give an empty table.
     """
@@ -181,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, with all their columns."""
+    """The rows of `docs` that hold no benchmark item, as `contaminated` finds them, with all their columns."""
     spark = docs.sparkSession
     for index in _indexes(benchmark, item_col, item_text_col):
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(index), docs.columns.index(text_col)), docs.schema)

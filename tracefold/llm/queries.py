@@ -99,10 +99,12 @@ w AS (
 g AS (
   SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
-n AS (SELECT id, count(*) AS n FROM g WHERE side = 'b' GROUP BY id),
+k AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS run FROM w WHERE side = 'b' AND len(w) IN (3, 4)),
+n AS (SELECT id, count(*) AS n FROM g WHERE side = 'b' AND id NOT IN (SELECT id FROM k) GROUP BY id),
 c AS (
   SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g d JOIN g b ON d.g = b.g AND d.side = 'd' AND b.side = 'b' GROUP BY ALL)
-SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles FROM c JOIN n ON c.item_id = n.id WHERE 100 * shared >= 75 * n
+SELECT w.id AS doc_id, k.id AS item_id, 1::BIGINT AS shared, 1::BIGINT AS item_shingles FROM k JOIN w ON side = 'd' AND contains(' ' || array_to_string(w, ' ') || ' ', run)
+UNION ALL SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles FROM c JOIN n ON c.item_id = n.id WHERE 100 * shared >= 75 * n
 """
 
 
