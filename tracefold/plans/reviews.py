@@ -68,9 +68,15 @@ def geocode_decisions(spark: SparkSession, d: str) -> DataFrame:
     return R.geocode_decision(rows)
 
 
-@query()
+@query("""
+WITH o AS (SELECT o_custkey AS id, max(o_orderdate) AS checked_at FROM orders GROUP BY o_custkey),
+c AS (SELECT c_custkey AS id, c_acctbal > 8000 AS covered, c_acctbal > 9500 AS failing, checked_at FROM customer LEFT JOIN o ON id = c_custkey),
+b AS (SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) % 14 AS bucket FROM c),
+u AS (SELECT * FROM b WHERE checked_at IS NULL OR (NOT (covered AND NOT failing) AND bucket = floor(epoch(TIMESTAMP '2001-08-02 07:00:00') / 43200)::BIGINT % 14 AND checked_at <= TIMESTAMP '2001-08-02 01:00:00'))
+SELECT id, row_number() OVER (ORDER BY checked_at NULLS FIRST, id)::INTEGER AS rank FROM u ORDER BY rank LIMIT 50
+""")
 def discovery_rotation(spark: SparkSession, d: str) -> DataFrame:
-    """Customers due for a look, the longest unseen first; tests hold the buckets against FNV-1a in Python."""
+    """Customers due for a look, the longest unseen first; tests hold the buckets against FNV-1a in Python too."""
     last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("checked_at"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 8000).alias("covered"), (F.col("c_acctbal") > 9500).alias("failing"))
     rows = c.join(last, "id", "left").withColumn("hint_at", F.lit(None).cast("timestamp"))
