@@ -55,6 +55,14 @@ def test_facets_of_arrays_and_areas(spark):
     assert got == {("c", "x"): (2, 1), ("investor", "p"): (2, 2), ("investor", "q"): (1, 2)}
 
 
+def test_summaries_count_members_of_arrays(spark):
+    df = spark.createDataFrame([(1, "x", ["p", "q"]), (2, "y", ["p", None]), (3, "x", None), (4, None, [])], "id int, c string, inv array<string>")
+    got = catalog.summary(df, {"first": F.col("id") < 2}, {"cs": "c", "investors": "inv"}, {"last": "id"}).first()
+    assert (got["count"], got["first"], got.cs, got.investors, got["last"]) == (4, 1, 2, 2, 4)
+    none = catalog.summary(df.limit(0), {}, {"investors": "inv"}, {}).first()
+    assert (none["count"], none.investors) == (0, 0)
+
+
 def test_csv_cells(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", 'say "hi", ok', None)], "a string, b string, c string")
     line = catalog.csv_lines(df, {c: F.col(c) for c in "abc"}, []).first().line

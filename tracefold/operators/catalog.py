@@ -161,8 +161,29 @@ def summary(rows: DataFrame, flags: dict[str, Column], distinct: dict[str, str],
     out = [F.count(F.lit(1)).alias("count")]
     out += [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()]
     out += [F.max(c).alias(k) for k, c in newest.items()]
-    for k, c in distinct.items():
-        out.append(F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long").alias(k) if kinds[c].startswith("array") else F.countDistinct(c).alias(k))
+    out += [F.countDistinct(c).alias(k) for k, c in distinct.items() if not kinds[c].startswith("array")]
+    parts = [rows.agg(*out)]
+    # members are counted by a shuffle of their own, and the single rows put together
+    parts += [rows.select(F.explode(c).alias("m")).agg(F.countDistinct("m").alias(k)) for k, c in distinct.items() if kinds[c].startswith("array")]
+    if len(parts) == 1:
+        return parts[0]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])
+
+
+def facet_sets(rows: DataFrame, columns: list[str], marked: str) -> DataFrame:
+    """Counts of each column's values, one grouping set a column, in one pass; `marked` has the grouping flag of the first column."""
+    return rows.groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("count"), F.grouping(columns[0]).cast("long").alias(marked))
+
+
+def vocabulary(rows: DataFrame, ranges: dict[str, tuple[str, str]], counted: dict[str, str], listed: dict[str, str]) -> DataFrame:
+    """One row of what a filter panel offers: least and most of some columns, how many values others have, and the values of closed vocabularies in order.
+
+    ranges: column -> names of its least and most; counted and listed: name -> column. Only columns of few values are to be listed.
+    """
+    out = [f(c).alias(n) for c, names in ranges.items() for f, n in zip((F.min, F.max), names, strict=True)]
+    out += [F.countDistinct(c).alias(k) for k, c in counted.items()]
+    out += [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(k) for k, c in listed.items()]
     return rows.agg(*out)
 
 

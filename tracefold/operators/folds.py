@@ -33,6 +33,17 @@ def posts(log: DataFrame) -> DataFrame:
     return j.select("post_id", "text", status.alias("status"), F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("reporters", F.lit(0)).alias("reporters"))
 
 
+def threads(posts_: DataFrame, thread: str, author: str, pos: str, authors: dict[str, str]) -> DataFrame:
+    """(thread, turns, one count for each of `authors` (name -> value), last_turn, last_role): what each thread holds."""
+    counts = [F.count_if(F.col(author) == v).alias(k) for k, v in authors.items()]
+    return posts_.groupBy(thread).agg(F.count(F.lit(1)).alias("turns"), *counts, F.max(pos).alias("last_turn"), F.max_by(author, pos).alias("last_role"))
+
+
+def reported(reports: DataFrame, item: list[str], reporter: str, least: int = HIDE_AT) -> DataFrame:
+    """(item, reporters): what so many different people have reported."""
+    return reports.groupBy(*item).agg(F.countDistinct(reporter).alias("reporters")).where(F.col("reporters") >= least)
+
+
 def visible_to(rows: DataFrame, viewer: Column) -> DataFrame:
     """What somebody may see: all that is visible, and their own that is hidden."""
     return rows.where((F.col("status") == "visible") | ((F.col("status") == "hidden") & (F.col("author") == viewer)))

@@ -123,6 +123,12 @@ def dedupe_roles(rows: DataFrame, key: list[str], source: str, id_col: str, post
     return j.withColumn("duplicate_of", F.when((F.col("n") > 1) & (F.col(source) != F.col("w.wsource")), F.col("w.wid"))).drop("w", "n")
 
 
+def latest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each group by `order`, without a window: each task keeps one row of a group."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__b")).select(*by, "__b.*")
+
+
 def diff(before: DataFrame, after: DataFrame, id_col: str, compare: list[str]) -> DataFrame:
     """(id, change): added, removed, changed or same."""
     b = before.select(F.col(id_col).alias("b_id"), F.struct(*compare).alias("b"))

@@ -25,6 +25,17 @@ def related(links: DataFrame, owner: str, item: str, top: int = 6) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def with_related(rows: DataFrame, key: str, related_: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """`rows` with, for each name, how many related rows there are and their labels in order: name -> (table, its key, its label).
+
+    Each relation is grouped before it is joined; labels are those of a closed set.
+    """
+    for name, (other, foreign, label) in related_.items():
+        per = other.groupBy(F.col(foreign).alias(key)).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias(f"{name}_labels"))
+        rows = rows.join(per, key, "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)).cast("long"))
+    return rows
+
+
 def recent(rows: DataFrame, by: str, at: str, tie: str, top: int = 5) -> DataFrame:
     """The newest rows of each group."""
     w = Window.partitionBy(by).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())

@@ -104,8 +104,7 @@ SELECT c_mktsegment, c_nationkey, count(*)::BIGINT AS count, grouping(c_mktsegme
 GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey))
 """)
 def facet_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    return c.groupingSets([["c_mktsegment"], ["c_nationkey"]], "c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("count"), F.grouping("c_mktsegment").cast("long").alias("g"))
+    return C.facet_sets(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], "g")
 
 
 @query(f"""
@@ -156,9 +155,7 @@ SELECT min(p_retailprice) AS least, max(p_retailprice) AS most, count(DISTINCT p
 (SELECT string_agg(p_brand, ',' ORDER BY p_brand) FROM (SELECT DISTINCT p_brand FROM part)) AS vocabulary FROM part
 """)
 def meta_vocab(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    vocabulary = F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("vocabulary")  # as many as the vocabulary has words
-    return p.agg(F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"), F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"), vocabulary)
+    return C.vocabulary(table(spark, d, "part"), {"p_retailprice": ("least", "most")}, {"brands": "p_brand", "types": "p_type"}, {"vocabulary": "p_brand"})
 
 
 @query("""

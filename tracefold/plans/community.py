@@ -15,18 +15,15 @@ from tracefold.session import table
 SELECT conv_id, count(*)::BIGINT AS turns, count(*) FILTER (WHERE role = 'user')::BIGINT AS asked, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS answered, max(turn) AS last_turn, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id
 """)
 def thread_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.count_if(F.col("role") == "assistant").alias("answered"),
-        F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"),
-    )
+    return folds.threads(table(spark, d, "conversations"), "conv_id", "role", "turn", {"asked": "user", "answered": "assistant"})
 
 
 @query("""
 SELECT event_type, user_id % 20 AS item, count(DISTINCT user_id)::BIGINT AS reporters FROM events WHERE value > 20 GROUP BY ALL HAVING count(DISTINCT user_id) >= 3
 """)
 def distinct_reporters(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value > 20").groupBy("event_type", (F.col("user_id") % 20).alias("item"))
-    return e.agg(F.countDistinct("user_id").alias("reporters")).where("reporters >= 3")
+    e = table(spark, d, "events").where("value > 20").withColumn("item", F.col("user_id") % 20)
+    return folds.reported(e, ["event_type", "item"], "user_id")
 
 
 @query("""

@@ -19,8 +19,7 @@ SPLIT, AS_OF = datetime(2024, 1, 16), datetime(2024, 1, 31)
 SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1
 """)
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    best = F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("b")
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(best).select("user_id", "event_type", "b.event_id", "b.ts")
+    return I.latest(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
 def _totals(spark: SparkSession, d: str, before: bool) -> DataFrame:

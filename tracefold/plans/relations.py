@@ -89,6 +89,5 @@ def relation_edges(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey)::BIGINT AS orders, (SELECT string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FROM orders WHERE o_custkey = c_custkey) AS statuses FROM customer
 """)
 def company_with_relations(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
-    c = table(spark, d, "customer").join(o, "c_custkey", "left")
-    return c.select("c_custkey", "c_name", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), "statuses")
+    c = R.with_related(table(spark, d, "customer"), "c_custkey", {"orders": (table(spark, d, "orders"), "o_custkey", "o_orderstatus")})
+    return c.select("c_custkey", "c_name", F.col("orders_n").alias("orders"), F.col("orders_labels").alias("statuses"))
