@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import urls as U
 from tracefold.functions.addresses import STATES
 from tracefold.functions.dates import DAY, PARTIAL, STAMP
+from tracefold.functions.registry_numbers import is_abn, is_acn
 from tracefold.operators import quality as Q
 from tracefold.operators.graph import circles
 
@@ -283,3 +284,124 @@ def investor_graph(organisations: DataFrame, people: DataFrame, memberships: Dat
         flag("investments", once(investments, ["investor_organisation_id", "company_id", "round"]), "repeated"),
         flag("organisations", circles(owners.select(F.col("id").alias("old"), F.col("parent_id").alias("new"))), "owns_itself", "node"),
     ])
+
+
+# States of a candidate and the moves between them, outcomes, kinds and states of tasks, kinds of locations.
+CANDIDATE_STEPS = {
+    "candidate": ("needs_review", "matched", "rejected"),
+    "needs_review": ("needs_review", "matched", "approved", "rejected", "merged"),
+    "matched": ("needs_review", "merged", "rejected"),
+    "approved": ("needs_review", "published", "rejected"),
+    "rejected": ("needs_review",),
+    "merged": (),
+    "published": (),
+}
+RESOLUTIONS = ("NEW_COMPANY", "EXACT_MATCH", "LIKELY_MATCH", "POSSIBLE_MATCH")
+TASK_STATUSES = ("queued", "running", "done", "skipped", "failed", "cancelled")
+LOCATION_KINDS = ("HEADQUARTERS", "OFFICE")
+PRECISIONS = ("EXACT", "SUBURB", "CITY", "STATE", "UNKNOWN")
+#: How far back a clock may have stepped between two entries of a trail.
+CLOCK_MINUTES = 10
+
+CANDIDATE_RULES = {
+    "id": lambda c: needed(c("id").rlike(r"^cand-[a-z0-9]+(?:-[a-z0-9]+)*$")),
+    "name": lambda c: said(c("name")),
+    "status": lambda c: needed(c("status").isin(*CANDIDATE_STEPS)),
+    "website": lambda c: c("website").rlike(WEB),
+    "state": lambda c: c("state").isin(*STATES),
+    "abn": lambda c: F.when(c("abn").isNotNull(), is_abn(c("abn"))),
+    "acn": lambda c: F.when(c("acn").isNotNull(), is_acn(c("acn"))),
+    "resolution": lambda c: needed(c("resolution").isin(*RESOLUTIONS)),
+    "no_discovery": lambda c: F.coalesce(F.size(c("discoveries")), F.lit(0)) > 0,
+    "discovery": lambda c: ~F.exists(c("discoveries"), lambda x: (F.coalesce(x["source_id"], F.lit("")) == "") | (F.coalesce(x["key"], F.lit("")) == "") | ~F.coalesce(x["source_kind"].isin(*SOURCE_KINDS), F.lit(False)) | x["observed_at"].isNull()),
+    "seen_before_discovered": lambda c: c("last_seen_at") >= c("first_discovered_at"),
+    "published_without_company": lambda c: needed((F.coalesce(c("status"), F.lit("")) == "published") == c("published_company_id").isNotNull()),
+}
+
+
+def candidates(rows: DataFrame, companies_: DataFrame) -> DataFrame:
+    """Candidates: their own rules, the steps of their histories, and the companies that they became.
+
+    rows: id, name, status, website, domain, state, abn, acn, resolution, discoveries array<struct<source_id, source_kind, key, observed_at>>,
+    first_discovered_at, last_seen_at, published_company_id, status_history array<struct<status, at, by>>. A history begins as
+    candidate, takes allowed steps only, says when and by whom, and ends where the record stands; the domain is that of the website.
+    """
+    steps = F.create_map(*[x for k, v in CANDIDATE_STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    h = F.col("status_history")
+    n = F.coalesce(F.size(h), F.lit(0))
+    before = F.slice(h, 1, F.greatest(n - 1, F.lit(0)))
+    after = F.slice(h, 2, F.greatest(n - 1, F.lit(1)))
+    wrong = F.exists(F.arrays_zip(before.alias("a"), after.alias("b")), lambda p: ~F.coalesce(F.array_contains(F.try_element_at(steps, p["a"]["status"]), p["b"]["status"]), F.lit(False)))
+    site = U.canonical_domain(F.col("website"))
+    rules = {
+        "no_history": n > 0,
+        "history_begins": F.when(n > 0, needed(F.get(h, F.lit(0))["status"] == "candidate")),
+        "history_step": F.when(n > 1, ~wrong),
+        "history_says": F.when(n > 0, ~F.exists(h, lambda x: x["at"].isNull() | (F.coalesce(F.trim(x["by"]), F.lit("")) == ""))),
+        "history_ends": F.when(n > 0, needed(F.get(h, n - 1)["status"] == F.col("status"))),
+        "domain": F.col("domain").eqNullSafe(site["domain"]),
+    }
+    published = rows.where("published_company_id IS NOT NULL")
+    return Q.all_violations([
+        broken("candidates", rows, CANDIDATE_RULES), Q.violations("candidates", rows, "id", rules), Q.not_unique("candidates", rows, ["id"]),
+        Q.orphans("candidates", published, "id", "published_company_id", companies_, "id"),
+    ])
+
+
+TASK_RULES = {
+    "id": lambda c: needed(c("id").cast("string") != ""),
+    "kind": lambda c: said(c("kind")),
+    "status": lambda c: needed(c("status").isin(*TASK_STATUSES)),
+    "attempts": lambda c: needed(c("attempts") >= 0),
+    "running_without_lease": lambda c: F.when(c("status") == "running", c("lease_until").isNotNull()),
+    "lease_without_running": lambda c: F.when(c("lease_until").isNotNull(), needed(c("status") == "running")),
+    "finished_at": lambda c: F.when(c("status").isin("done", "skipped", "failed", "cancelled"), c("finished_at").isNotNull()),
+    "finished_too_early": lambda c: F.when(c("status").isin("queued", "running"), c("finished_at").isNull()),
+    "finished_before_created": lambda c: c("finished_at") >= c("created_at"),
+    "waits_without_queue": lambda c: F.when(c("not_before").isNotNull(), needed(c("status") == "queued")),
+}
+
+
+def tasks(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Tasks of a queue: their own rules, targets that exist (kind, id), and one active task for a kind and target."""
+    active = rows.where("status IN ('queued', 'running')").groupBy("kind", "target_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
+    lost = rows.where("target_id IS NOT NULL").join(targets.select("kind", F.col("id").alias("target_id")), ["kind", "target_id"], "left_anti")
+    flag = lambda df, code: df.select(F.lit("tasks").alias("table"), F.col("id").cast("string").alias("id"), F.lit(code).alias("code"))
+    return Q.all_violations([broken("tasks", rows, TASK_RULES), Q.not_unique("tasks", rows, ["id"]), flag(active, "two_active"), flag(lost, "no_target_id")])
+
+
+def location_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of places: id, company_id, kind, precision, address, city, lat, lng. heads: the headquarters rows that companies imply.
+
+    A company has one headquarters, which is as its own record says; an office without a place is no row; a point is whole and
+    stands where the precision is one of points.
+    """
+    point = F.col("precision").isin("EXACT", "SUBURB")
+    rules = {
+        "kind": needed(F.col("kind").isin(*LOCATION_KINDS)), "precision": needed(F.col("precision").isin(*PRECISIONS)), "half_a_point": F.col("lat").isNull() == F.col("lng").isNull(),
+        "no_point": F.when(point, F.col("lat").isNotNull()), "exact_without_address": F.when(F.col("precision") == "EXACT", said(F.col("address"))), "city_without_city": F.when(F.col("precision") == "CITY", said(F.col("city"))),
+        "office_without_place": F.when(F.col("kind") == "OFFICE", needed(F.col("precision") != "UNKNOWN")),
+    }
+    own = heads.select("company_id", *[F.col(c).alias(f"__{c}") for c in ("precision", "address", "city", "lat", "lng")])
+    hq = rows.where("kind = 'HEADQUARTERS'").join(own, "company_id")
+    differs = F.lit(False)
+    for c in ("precision", "address", "city", "lat", "lng"):
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    flag = lambda df, code: df.select(F.lit("locations").alias("table"), F.col("id").cast("string").alias("id"), F.lit(code).alias("code"))
+    two = rows.where("kind = 'HEADQUARTERS'").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
+    return Q.all_violations([
+        Q.violations("locations", rows, "id", rules), Q.not_unique("locations", rows, ["id"]), Q.orphans("locations", rows, "id", "company_id", heads, "company_id"), flag(hq.where(differs), "differs_from_company"), flag(two, "two_headquarters"),
+    ])
+
+
+def audit_trail(rows: DataFrame, actions: tuple[str, ...], roles_: tuple[str, ...]) -> DataFrame:
+    """Entries of a trail: pos, id, at, actor, role, action, target_type, target_id, summary. Positions put it in order; an entry much earlier than the one before is wrong."""
+    rules = {
+        "id": needed(F.col("id").rlike(r"^aud-\d+-\d+$")), "at": F.col("at").isNotNull(), "actor": needed((F.trim("actor") != "") & (F.length("actor") <= 80)), "role": needed(F.col("role").isin(*roles_)),
+        "action": needed(F.col("action").isin(*actions)), "target": needed((F.trim("target_type") != "") & (F.trim("target_id") != "")), "summary": said(F.col("summary")),
+    }
+    # each entry beside the one before: a join on positions, as a window over the whole trail would be one task
+    dated = rows.where("at IS NOT NULL")
+    before = dated.select((F.col("pos") + 1).alias("pos"), F.col("at").alias("__before"))
+    late = dated.join(before, "pos").where(F.col("at") < F.col("__before") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(CLOCK_MINUTES)))
+    return Q.all_violations([Q.violations("audit_trail", rows, "id", rules), Q.not_unique("audit_trail", rows, ["id"]), late.select(F.lit("audit_trail").alias("table"), F.col("id").cast("string").alias("id"), F.lit("out_of_order").alias("code"))])
