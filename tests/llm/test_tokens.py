@@ -28,9 +28,10 @@ def texts():
 def test_pieces_are_encoded_like_whole_texts(tokenizer, monkeypatch):
     e = Encoder(tokenizer_path())
     for remembered in (10**6, 40):
-        monkeypatch.setattr("tracefold.llm.tokens.REMEMBERED", remembered)
+        monkeypatch.setattr("tracefold.llm.tokens.REMEMBERED_BYTES", remembered)
         sample = texts()
-        for got, text in zip(e.encode(sample), sample, strict=True):
+        encoded = [x for at in range(0, len(sample), 150) for x in e.encode(sample[at : at + 150])]
+        for got, text in zip(encoded, sample, strict=True):
             assert np.frombuffer(got, dtype="<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 

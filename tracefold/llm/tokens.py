@@ -10,8 +10,8 @@ import numpy as np
 
 #: The tokenizer of the queries: no token of it spans white space, so the pieces between spaces can be encoded apart.
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces whose ids are remembered by a process, beside those of the texts in hand.
-REMEMBERED = 900_000
+#: Bytes that a process spends on remembered pieces, and on remembered words, beside those of the texts in hand; what an entry costs besides its characters and ids.
+REMEMBERED_BYTES, ENTRY = 100_000_000, 170
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -49,6 +49,7 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.known_bytes = self.words_bytes = 0
 
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
@@ -66,22 +67,24 @@ class Encoder:
         split = [self._pieces(t) for t in texts]
         used = set().union(*split)
         new = used.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, used
-        plain = {p: WORD.findall(p) for p in new if PLAIN.fullmatch(p) and "<|" not in p}
+        if self.known_bytes > REMEMBERED_BYTES:
+            self.known, new, self.known_bytes = {}, used, 0
+        # a piece that is one word is the key of both, and held once
+        plain = {p: [p] if WORD.fullmatch(p) else WORD.findall(p) for p in new if PLAIN.fullmatch(p) and "<|" not in p}
         self._learn_words(set().union(*plain.values()))
         word, known = self.words.__getitem__, self.known
         for p, ws in plain.items():
             known[p] = b"".join(map(word, ws))
         for p in new.difference(plain):
             known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.known_bytes += sum(len(p) + len(known[p]) + ENTRY for p in new)
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
     def _learn_words(self, words: set[str]) -> None:
         new = list(words.difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words, new = {}, list(words)
+        if self.words_bytes > REMEMBERED_BYTES:
+            self.words, new, self.words_bytes = {}, list(words), 0
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -91,6 +94,7 @@ class Encoder:
             raw = ids.tobytes()
             for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
                 self.words[w] = raw[a:b]
+            self.words_bytes += sum(map(len, part)) + len(raw) + ENTRY * len(part)
 
 
 @lru_cache(maxsize=2)
