@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import names as names_of
-from tracefold.operators import catalog, evidence, incremental, quality, relations, resolve
+from tracefold.operators import catalog, evidence, incremental, quality, resolve
 from tracefold.plans import resolution
 from tracefold.sources import boards, sinks, tables
 from tracefold.streaming.reads import ReadTable, sessions, windowed
@@ -226,17 +226,6 @@ def test_states_and_violations(spark):
     assert [tuple(r) for r in got] == [("present", "present", "present"), ("empty", "invalid", "empty"), ("unknown", "null", "null"), ("null", "invalid", "null")]
 
 
-def test_recommendations_refuse_too_many(spark, monkeypatch):
-    monkeypatch.setattr(relations, "ASKING", 1)
-    p = resolution.table(spark, "/root/testdata/sf0.001", "customer").limit(3)
-    from tracefold.plans.community import people
-
-    everyone = people(spark, "/root/testdata/sf0.001")
-    assert p.count() == 3
-    with pytest.raises(ValueError, match="at once"):
-        relations.recommend(everyone, everyone, everyone.select(F.col("id").alias("me_id"), F.col("id").alias("other_id")))
-
-
 def test_boards(spark):
     answers = spark.createDataFrame(
         [
