@@ -58,7 +58,11 @@ def run(leads: DataFrame, companies: DataFrame, candidates: DataFrame | None = N
     if candidates is not None:
         known = known.unionByName(candidates.select(F.concat(F.lit("1"), F.col("id").cast("string")).alias("id"), *IDENTITY))
     asked = classes.withColumnRenamed("class", "id").select("id", *IDENTITY)
-    stored = resolve.compare(saved(resolve.pairs(asked, known), "pairs"), asked, known).select(F.col("lead_id").alias("class"), F.col("record_id").substr(1, 1).alias("kind"), F.expr("substr(record_id, 2)").alias("target"), "outcome", "score")
+    # all that a lead may be: stored records and the classes of the run, compared in one go
+    records = saved(known.unionByName(asked.withColumn("id", F.concat(F.lit("2"), "id"))), "records")
+    every = resolve.compare(saved(resolve.pairs(asked, records), "pairs"), asked, records)
+    every = saved(every.select(F.col("lead_id").alias("class"), F.col("record_id").substr(1, 1).alias("kind"), F.expr("substr(record_id, 2)").alias("target"), "outcome", "score"), "compared")
+    stored = every.where("kind <> '2'")
     exact_companies = stored.where("kind = '0' AND outcome = 'EXACT_MATCH'").groupBy("class").agg(F.count(F.lit(1)).alias("claims"))
     stored = stored.join(exact_companies, "class", "left")
     twice = (F.col("kind") == "0") & (F.col("outcome") == "EXACT_MATCH") & (F.col("claims") > 1)
@@ -66,8 +70,7 @@ def run(leads: DataFrame, companies: DataFrame, candidates: DataFrame | None = N
     matched = stored.where("kind = '0' AND outcome = 'EXACT_MATCH'").select("class").distinct()
     joined = stored.where("kind = '1' AND outcome = 'EXACT_MATCH'").select("class").distinct().join(matched, "class", "left_anti")
 
-    among = resolve.compare(saved(resolve.pairs(asked, asked), "pairs"), asked, asked).select(F.col("lead_id").alias("class"), F.col("record_id").alias("other"), "outcome", "score")
-    among = saved(among, "among")
+    among = every.where("kind = '2'").select("class", F.col("target").alias("other"), "outcome", "score")
     at = classes.select("class", "pos")
     later = at.withColumnRenamed("class", "other").withColumnRenamed("pos", "other_pos")
     same = among.where("outcome = 'EXACT_MATCH' AND class <> other").join(at, "class").join(later, "other").where("other_pos < pos")
