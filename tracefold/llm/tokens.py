@@ -11,7 +11,7 @@ import numpy as np
 #: The tokenizer of the queries: no token of it spans white space, so the pieces between spaces can be encoded apart.
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes that a process spends on remembered pieces, and on remembered words, beside those of the texts in hand; what an entry costs besides its characters and ids.
-REMEMBERED_BYTES, ENTRY = 100_000_000, 170
+REMEMBERED_BYTES, ENTRY = 40_000_000, 170
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
