@@ -195,14 +195,14 @@ def claims(rows: DataFrame, companies: DataFrame, sources: DataFrame, fields: tu
     ])
 
 
-def roles(rows: DataFrame, boards: DataFrame, now: datetime) -> DataFrame:
+def roles(rows: DataFrame, boards: DataFrame, now: datetime, same_link=U.canonical_url) -> DataFrame:
     """Open roles of a hiring desk against the last whole read of their boards.
 
     rows: id, source_id, provider, status, apply_url, duplicate_key, first_seen_at, last_confirmed_at, posted_at. boards:
     source_id, status, last_success_at. Roles without a board are dated by their own clock and not held against one. Where
     rows have a column `website` (the employer's), links of a provider must lead to its hosts or to the employer's own; where
     they have `au` and `remote_au` (a place in Australia, or work from it), one of them must hold. Links are held against each
-    other in their canonical form; roles without a duplicate key or a link are nobody's duplicate.
+    other in the form that `same_link` gives them, the canonical one if nothing else is said; roles without a duplicate key or a link are nobody's duplicate.
     """
     seconds = lambda c: F.unix_timestamp(c)
     b = boards.select("source_id", F.col("status").alias("__board"), F.col("last_success_at").alias("__read"))
@@ -231,7 +231,7 @@ def roles(rows: DataFrame, boards: DataFrame, now: datetime) -> DataFrame:
     if "au" in rows.columns:
         rules["not_in_australia"] = F.coalesce("au", F.lit(False)) | F.coalesce("remote_au", F.lit(False))
     again = rows.where("status = 'open' AND duplicate_key IS NOT NULL").groupBy("duplicate_key").agg(F.countDistinct("source_id").alias("n"), F.min("id").alias("id")).where("n > 1")
-    link = F.coalesce(U.canonical_url(F.col("apply_url")), F.col("apply_url"))
+    link = F.coalesce(same_link(F.col("apply_url")), F.col("apply_url"))
     shared = rows.where("status = 'open' AND apply_url IS NOT NULL").groupBy(link.alias("__link")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
     flag = lambda df, code: df.select(F.lit("roles").alias("table"), F.col("id").cast("string"), F.lit(code).alias("code"))
     return Q.all_violations([Q.violations("roles", j, "id", rules), Q.not_unique("roles", rows, ["id"]), flag(again, "on_two_boards"), flag(shared, "shared_link")])
