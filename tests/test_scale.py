@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tracefold.functions import headlines
 from tracefold.operators import subscriptions, validate
 
 
@@ -29,3 +30,8 @@ def test_filters_are_counted_without_meeting_rows(spark):
     assert len(got) == 30
     _, filters, met = subscriptions._met(rows, wanted)
     assert (filters.count(), met.count()) == (40, 3)  # three sectors meet three of four sets of terms
+
+
+def test_headlines_work_out_each_step_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(headlines.company(F.col("t")).alias("c"))
+    assert len(plan_of(df)) < 20_000  # the pattern of a name alone is 600 characters; repeated steps made hundreds of it
