@@ -13,14 +13,16 @@ def portfolio(links: DataFrame, owner: str, item: str) -> DataFrame:
 
 
 def related(links: DataFrame, owner: str, item: str, top: int = 6) -> DataFrame:
-    """(owner, other, shared, rank): the owners that share most items with each, by a self-join on the item.
+    """(owner, other, shared, rank): the owners that share most items with each.
 
     An item that n owners have makes n squared pairs; the links are made distinct first, and n is the number of backers of
-    one company, not of rows.
+    one company, not of rows. The owners of an item go to each of them as one list, and pairs are only counted where all lists
+    of an owner are: no row for a pair is shuffled.
     """
-    d = links.select(owner, item).distinct()
-    other = d.select(F.col(owner).alias("other"), item)
-    counts = d.join(other, item).where(F.col(owner) != F.col("other")).groupBy(owner, "other").agg(F.count(F.lit(1)).alias("shared"))
+    d = links.select(owner, item).where(F.col(item).isNotNull() & F.col(owner).isNotNull()).distinct()
+    lists = d.groupBy(item).agg(F.collect_list(owner).alias("others"))
+    met = d.join(lists, item).select(owner, "others").repartition(owner)
+    counts = met.select(owner, F.explode("others").alias("other")).where(F.col(owner) != F.col("other")).groupBy(owner, "other").agg(F.count(F.lit(1)).alias("shared"))
     w = Window.partitionBy(owner).orderBy(F.desc("shared"), "other")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
