@@ -5,10 +5,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracefold.functions import headlines
-from tracefold.operators import resolve, subscriptions, validate
+from tracefold.operators import evidence, relations, resolve, subscriptions, validate
 
 
 def plan_of(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "1000")
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -45,3 +46,20 @@ def test_listed_items_carry_no_records(spark):
     assert got == {(1, "found", 1, 1, "a"), (2, "ambiguous", 2, 1, "b"), (3, "ambiguous", 2, 2, "y"), (4, "unmatched", 0, None, None), (5, "found", 1, 2, "z")}
     assert {(r.item_id, tuple(r.record_ids or ())) for r in resolve.match_list(items, records, "k1", "k2").collect()} == {(1, (10,)), (2, (11, 12)), (3, (10, 11)), (4, ()), (5, (13,))}
     assert "collect_" not in plan_of(states)
+
+
+def test_pairs_of_owners_are_counted_where_their_lists_are(spark):
+    links = spark.createDataFrame([(o, i) for i in range(20) for o in range(12) if (o * i) % 5 < 3] + [(None, 1), (1, None), (3, 3), (3, 3)], "owner int, item int")
+    got = {(r.owner, r.other, r.shared) for r in relations.related(links, "owner", "item", 11).collect()}
+    of = lambda o: {i for i in range(20) if (o * i) % 5 < 3} | ({3} if o == 3 else set())
+    assert got == {(a, b, len(of(a) & of(b))) for a in range(12) for b in range(12) if a != b and of(a) & of(b)}
+    physical = relations.related(links, "owner", "item")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in physical.split("Generate")[0]  # pairs are made above all joins
+
+
+def test_addresses_are_read_once(spark):
+    df = spark.createDataFrame([("1 High St, Perth WA 6000", "Unit 2, 1 High Street, Perth 6000")], "a string, b string")
+    claims = df.select(F.lit("place").alias("type"), F.lit("address").alias("field"), F.col("a").alias("value"), F.col("b").alias("stored_value"), *[F.lit(None).cast(t).alias(n) for n, t in (("amount", "double"), ("currency", "string"), ("stored_amount", "double"), ("stored_currency", "string"))])
+    said = claims.select(evidence.says_the_same(evidence.Claims()).alias("same"))
+    assert plan_of(said).count("[–—]") == 2  # one reading of each address
+    assert said.collect() == [(True,)]

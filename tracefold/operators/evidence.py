@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import addresses
+from tracefold.functions.once import once
 from tracefold.functions.urls import url_key
 
 RANK = {"high": 3, "medium": 2, "low": 1}
@@ -114,9 +115,9 @@ def grouped_values(claims: DataFrame, c: Claims, order: str, value: Column, equa
     kind = grouped.schema["__all"].dataType.simpleString()
 
     def join(found: Column, v: Column) -> Column:
-        hit = F.array_position(F.transform(found, lambda g: equal(g["value"], v["value"])), True)
+        at = F.array_position(F.transform(found, lambda g: equal(g["value"], v["value"])), True)
         more = lambda g: F.struct(g["at"].alias("at"), g["value"].alias("value"), (g["rows"] + v["rows"]).alias("rows"), F.greatest(g["best"], v["best"]).alias("best"))
-        return F.when(hit == 0, F.concat(found, F.array(v))).otherwise(F.transform(found, lambda g, i: F.when(i + 1 == hit, more(g)).otherwise(g)))
+        return once(at, lambda hit: F.when(hit == 0, F.concat(found, F.array(v))).otherwise(F.transform(found, lambda g, i: F.when(i + 1 == hit, more(g)).otherwise(g))))
 
     done = F.aggregate("__all", F.array().cast(kind), join)
     return grouped.select(c.subject, c.field, F.inline(done)).drop("at")
@@ -168,7 +169,7 @@ def judged(claims: DataFrame, stored: DataFrame, c: Claims, order: str) -> DataF
     of_sums = of_sums.withColumn("agrees", same_money(F.col("first"), money(F.col("stored_amount"), F.col("stored_currency")))).withColumn("stated", F.col("stored_amount").isNotNull())
     places = grouped_values(claims.where((F.col("type") == PLACE) & F.col(c.value).isNotNull()), c, order, place(F.col(c.value)), same_place)
     of_places = _counted(places, c).join(s, [c.subject, c.field], "left")
-    of_places = of_places.withColumn("agrees", same_place(F.col("first"), place(F.col("stored_value")))).withColumn("stated", F.col("stored_value").isNotNull())
+    of_places = of_places.withColumn("agrees", once(place(F.col("stored_value")), lambda p: same_place(F.col("first"), p))).withColumn("stated", F.col("stored_value").isNotNull())
     columns = [c.subject, c.field, "values", "rows", "best", "stated", "agrees"]
     return of_key.select(columns).unionByName(of_sums.select(columns)).unionByName(of_places.select(columns))
 
@@ -192,7 +193,7 @@ def typed_unapplied(claims: DataFrame, stored: DataFrame, c: Claims, order: str)
 def says_the_same(c: Claims) -> Column:
     """Whether a claim says what the record says, by the type of its field."""
     by_sum = same_money(money(F.col("amount"), F.col("currency")), money(F.col("stored_amount"), F.col("stored_currency")))
-    by_place = same_place(place(F.col(c.value)), place(F.col("stored_value")))
+    by_place = once(F.struct(place(F.col(c.value)).alias("claim"), place(F.col("stored_value")).alias("record")), lambda p: same_place(p["claim"], p["record"]))
     by_key = value_key(F.col("type"), F.col(c.field), F.col(c.value)) == value_key(F.col("type"), F.col(c.field), F.col("stored_value"))
     return F.when(F.col("type") == MONEY, by_sum).when(F.col("type") == PLACE, by_place).otherwise(by_key)
 
