@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tracefold.functions import headlines
+from tracefold.functions import headlines, pages
 from tracefold.operators import evidence, relations, resolve, subscriptions, validate
 
 
@@ -63,3 +63,9 @@ def test_addresses_are_read_once(spark):
     said = claims.select(evidence.says_the_same(evidence.Claims()).alias("same"))
     assert plan_of(said).count("[–—]") == 2  # one reading of each address
     assert said.collect() == [(True,)]
+
+
+def test_contacts_are_sought_once(spark):
+    df = spark.createDataFrame([("a@b.co 0412 345 678 (02) 9999 1234",)], "t string").select(pages.contacts(F.col("t")).alias("c"))
+    assert plan_of(df).count("regexp_extract_all") == 1
+    assert [(x.kind, x.text) for x in df.collect()[0].c] == [("email", "a@b.co"), ("mobile", "0412 345 678"), ("phone", "(02) 9999 1234")]
