@@ -93,6 +93,16 @@ def test_groups_after_each_of_five_batches(spark):
         assert {(x.id, x.was, x.now) for x in moved.collect()} == {(i, before[i], got[i]) for i in before if i in got and before[i] != got[i]}
 
 
+def test_a_batch_brings_groups_together_once(spark):
+    at = datetime(2024, 1, 1)
+    state = deltas.first_ranking(spark.createDataFrame([(1, "x", "s1", at, at), (2, "x", "s2", None, at), (3, None, "s1", at, at)], ROLE), *ARGS)
+    state = spark.createDataFrame(state.collect(), state.schema)
+    after, _ = deltas.role_delta(state, spark.createDataFrame([(1, "y", "s1", at, at, "put"), (4, "x", "s1", None, at, "put")], f"{ROLE}, op string"), *ARGS)
+    assert {x.id: x.duplicate_of for x in after.collect()} == {1: None, 2: None, 3: None, 4: 2}
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Join"), plan.count("Window"), plan.count("Aggregate")) == (2, 1, 0)  # by id, for groups and for rows of none
+
+
 def test_a_run_that_comes_twice_changes_nothing(spark):
     t = lambda h: datetime(2024, 1, 1, h)
     ledger = spark.createDataFrame([], "key string, entries long, total double, last_value string, last_at struct<at:timestamp,run_id:string,row_no:long>")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.operators.incremental import dedupe_roles
+from tracefold.operators.incremental import dedupe_roles, winning_order
 
 
 def role_delta(state: DataFrame, changes: DataFrame, key: list[str], source: str, id_col: str, posted: str, first_seen: str) -> tuple[DataFrame, DataFrame]:
@@ -16,30 +16,34 @@ def role_delta(state: DataFrame, changes: DataFrame, key: list[str], source: str
     back. moved: (id, was, now) of the rows whose duplicate_of changed.
     """
     columns = [c for c in state.columns if c != "duplicate_of"]
-    ids = changes.select(id_col)
-    before = state.join(ids, id_col, "left_semi")
-    put = changes.where("op = 'put'").select(columns)
-    touched = before.select(*key).unionByName(put.select(*key)).distinct()
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in key]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    groups = state.alias("s").join(touched.alias("t"), on, "left_semi")
-    quiet = state.alias("s").join(touched.alias("t"), on, "left_anti")
-    again = groups.select(columns).join(ids, id_col, "left_anti").unionByName(put)
-    ranked = _ranked(again, key, source, id_col, posted, first_seen).select(*columns, "duplicate_of")
-    was = groups.select(F.col(id_col), F.col("duplicate_of").alias("was"), F.lit(True).alias("__had"))
-    now = ranked.select(F.col(id_col), F.col("duplicate_of").alias("now"), F.lit(True).alias("__has"))
-    j = was.join(now, id_col, "full")
-    moved = j.where("__had AND __has AND NOT (was <=> now)").select(id_col, "was", "now")
-    return quiet.select(*columns, "duplicate_of").unionByName(ranked), moved
+    no = F.lit(None).cast(state.schema["duplicate_of"].dataType)
+    marked = state.join(changes.select(id_col, F.lit(True).alias("__gone")), id_col, "left").select(*columns, "duplicate_of", F.coalesce("__gone", F.lit(False)).alias("__gone"), F.coalesce("__gone", F.lit(False)).alias("__changed"))
+    put = changes.where("op = 'put'").select(*columns, no.alias("duplicate_of"), F.lit(False).alias("__gone"), F.lit(True).alias("__changed"))
+    rows = marked.unionByName(put)
+    whole = _whole(key)
+    # a group comes together once: what left it, what came and what stayed
+    group = Window.partitionBy(*key)
+    order = winning_order(id_col, posted, first_seen)
+    best = F.min_by(F.struct(F.col(id_col).alias("wid"), F.col(source).alias("wsource")), F.when(~F.col("__gone"), order)).over(group)
+    grouped = rows.where(whole).withColumns({"__w": best, "__touched": F.max("__changed").over(group)}).where("NOT __gone")
+    again = F.when(F.col(source) != F.col("__w.wsource"), F.col("__w.wid"))
+    grouped = grouped.select(*columns, F.when(F.col("__touched"), again).otherwise(F.col("duplicate_of")).alias("duplicate_of"))
+    after = grouped.unionByName(rows.where(~whole & ~F.col("__gone")).select(*columns, no.alias("duplicate_of")))
+    now = after.select(id_col, F.col("duplicate_of").alias("now"))
+    moved = state.select(id_col, F.col("duplicate_of").alias("was")).join(now, id_col).where("NOT (was <=> now)").select(id_col, "was", "now")
+    return after, moved
 
 
-def _ranked(rows: DataFrame, key: list[str], source: str, id_col: str, posted: str, first_seen: str) -> DataFrame:
-    """`rows` with duplicate_of; rows with a null in their key are nobody's duplicate."""
+def _whole(key: list[str]) -> Column:
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull()
+    return whole
+
+
+def _ranked(rows: DataFrame, key: list[str], source: str, id_col: str, posted: str, first_seen: str) -> DataFrame:
+    """`rows` with duplicate_of; rows with a null in their key are nobody's duplicate."""
+    whole = _whole(key)
     loose = rows.where(~whole)
     ranked = dedupe_roles(rows.where(whole), key, source, id_col, posted, first_seen)
     return ranked.unionByName(loose.withColumn("duplicate_of", F.lit(None).cast(rows.schema[id_col].dataType)))

@@ -112,15 +112,21 @@ def needs_attention(failures: Column) -> Column:
     return failures >= 3
 
 
+def winning_order(id_col: str, posted: str, first_seen: str) -> Column:
+    """The least of a group wins."""
+    return F.struct(F.when(F.col(posted).isNotNull(), 0).otherwise(1).alias("a"), F.coalesce(first_seen, F.lit("9999-12-31").cast("timestamp")).alias("b"), F.col(id_col).alias("c"))
+
+
 def dedupe_roles(rows: DataFrame, key: list[str], source: str, id_col: str, posted: str, first_seen: str) -> DataFrame:
     """`rows` with duplicate_of: in a group of equal roles from several sources, all but the winner's own source are duplicates.
 
     The winner has a posting date, was seen first, and has the smallest id, in this order.
     """
-    order = F.struct(F.when(F.col(posted).isNotNull(), 0).otherwise(1).alias("a"), F.coalesce(first_seen, F.lit("9999-12-31").cast("timestamp")).alias("b"), F.col(id_col).alias("c"))
-    best = rows.groupBy(*key).agg(F.min_by(F.struct(F.col(id_col).alias("wid"), F.col(source).alias("wsource")), order).alias("w"), F.countDistinct(source).alias("n"))
+    order = winning_order(id_col, posted, first_seen)
+    # a source that differs from the winner's is a second one, so sources need not be counted
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(F.col(id_col).alias("wid"), F.col(source).alias("wsource")), order).alias("w"))
     j = rows.join(best, key)
-    return j.withColumn("duplicate_of", F.when((F.col("n") > 1) & (F.col(source) != F.col("w.wsource")), F.col("w.wid"))).drop("w", "n")
+    return j.withColumn("duplicate_of", F.when(F.col(source) != F.col("w.wsource"), F.col("w.wid"))).drop("w")
 
 
 def latest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
