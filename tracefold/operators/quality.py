@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.operators.dealing import dealt, tasks_for
+
 UNKNOWN = r"(?i)^(?:unknown|n/?a|tbd|tba|none|null|undefined|-+)$"
 
 # The tier and weight of each kind of task.
@@ -80,8 +82,10 @@ def violations(table: str, rows: DataFrame, id_col: str, rules: dict[str, Column
     return rows.select(F.lit(table).alias("table"), F.col(id_col).cast("string").alias("id"), F.explode(broken).alias("code"))
 
 
-def not_unique(table: str, rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(table).alias("table"), F.concat_ws("|", *key).alias("id"), F.lit("not_unique").alias("code"))
+def not_unique(table: str, rows: DataFrame, key: list[str], tasks: int | None = None) -> DataFrame:
+    """Keys that more than one row has. tasks: over how many tasks keys are dealt (none given: by the number of rows)."""
+    keys = rows.select(*key)
+    return dealt(keys, tasks_for(keys) if tasks is None else tasks, *key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(table).alias("table"), F.concat_ws("|", *key).alias("id"), F.lit("not_unique").alias("code"))
 
 
 def orphans(table: str, rows: DataFrame, id_col: str, key: str, parents: DataFrame, parent_key: str) -> DataFrame:

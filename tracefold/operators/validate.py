@@ -16,6 +16,7 @@ from tracefold.functions.addresses import STATES
 from tracefold.functions.dates import DAY, PARTIAL, STAMP
 from tracefold.functions.registry_numbers import is_abn, is_acn
 from tracefold.operators import quality as Q
+from tracefold.operators.dealing import dealt, tasks_for
 from tracefold.operators.graph import circles
 
 # What a field with a closed set may say.
@@ -171,11 +172,14 @@ def claims(rows: DataFrame, companies: DataFrame, sources: DataFrame, fields: tu
     """Claims against their companies and sources. `key`: a text under which equal values of a field meet.
 
     A source says a thing once for a field; it must be read before it is checked, and be listed by the company; a company's
-    last_verified_at is no older than the newest check beneath it.
+    last_verified_at is no older than the newest check beneath it. Many claims are dealt over tasks by their number; those of
+    one company meet in one task.
     """
+    n = tasks_for(rows)
+    mine = dealt(rows, n, "company_id")
     s = sources.select(F.col("id").alias("source_id"), F.col("retrieved_at").alias("__read"), F.lit(True).alias("__source"))
     c = companies.select(F.col("id").alias("company_id"), F.col("source_ids").alias("__lists"), F.col("last_verified_at").alias("__last"), F.lit(True).alias("__company"))
-    j = rows.join(s, "source_id", "left").join(c, "company_id", "left")
+    j = mine.join(c, "company_id", "left").join(s, "source_id", "left")
     rules = {
         "no_source_id": F.coalesce("__source", F.lit(False)),
         "no_company_id": F.coalesce("__company", F.lit(False)),
@@ -183,13 +187,14 @@ def claims(rows: DataFrame, companies: DataFrame, sources: DataFrame, fields: tu
         "checked_but_never_read": F.when(F.col("verified_at").isNotNull() & F.col("__source"), F.col("__read").isNotNull()),
         "source_not_listed": F.when(F.col("__source") & F.col("__company"), needed(F.array_contains("__lists", F.col("source_id")))),
     }
-    repeats = rows.withColumn("__key", key).groupBy("company_id", "field", "source_id", "__key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n > 1")
-    newest = rows.groupBy("company_id").agg(F.max("verified_at").alias("newest"))
+    once = ["company_id", "field", "source_id", "__key"]
+    repeats = dealt(rows.select("id", *once[:3], key.alias("__key")), n, *once).groupBy(*once).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n > 1")
+    newest = mine.groupBy("company_id").agg(F.max("verified_at").alias("newest"))
     lags = newest.join(c, "company_id").where("newest IS NOT NULL AND (__last IS NULL OR __last < newest)")
     return Q.all_violations([
         broken("claims", rows, CLAIM_RULES),
         Q.violations("claims", j, "id", rules),
-        Q.not_unique("claims", rows, ["id"]),
+        Q.not_unique("claims", rows, ["id"], n),
         repeats.select(F.lit("claims").alias("table"), F.col("id").cast("string"), F.lit("repeated").alias("code")),
         lags.select(F.lit("companies").alias("table"), F.col("company_id").cast("string").alias("id"), F.lit("older_than_its_claims").alias("code")),
     ])
