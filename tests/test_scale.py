@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import headlines, pages
 from tracefold.functions.names import SIMILAR
 from tracefold.operators import dealing, evidence, facts, quality, relations, resolve, spellings, subscriptions, validate
+from tracefold.plans.registry import QUERIES
 
 
 def plan_of(df) -> str:
@@ -139,3 +140,27 @@ def test_claims_are_dealt_by_their_number(spark, monkeypatch):
     df = run()
     assert plan_of(df).count("RepartitionByExpression") == 4  # companies, sources and what is said, ids: each over 20 tasks
     assert sorted(map(tuple, df.collect())) == want
+
+
+def test_places_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(300).select(
+        (F.col("id") % 297).alias("id"), F.when(F.col("id") % 60 > 0, F.col("id") % 50).alias("company_id"), F.when(F.col("id") % 4 > 0, "HEADQUARTERS").otherwise("OFFICE").alias("kind"), F.when(F.col("id") % 3 > 0, "EXACT").otherwise("UNKNOWN").alias("precision"),
+        F.lit("1 High St").alias("address"), F.lit("Perth").alias("city"), F.when(F.col("id") % 5 > 0, 1.0).alias("lat"), F.lit(1.0).alias("lng"),
+    )
+    heads = spark.range(45).select(F.col("id").alias("company_id"), F.lit("EXACT").alias("precision"), F.lit("1 High St").alias("address"), F.lit("Perth").alias("city"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"))
+    run = lambda: validate.location_rows(rows, heads)
+    want = sorted(map(tuple, run().collect()))
+    assert {x[2] for x in want} == {"half_a_point", "no_point", "office_without_place", "not_unique", "no_company_id", "differs_from_company", "two_headquarters"}
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 20)
+    df = run()
+    assert plan_of(df).count("RepartitionByExpression") == 5  # both sides of one rule about companies, one of two others, ids
+    assert sorted(map(tuple, df.collect())) == want
+
+
+def test_query_of_places_deals_orders(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, QUERIES["location_violations"](spark, data).collect()))
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 50)
+    df = QUERIES["location_violations"](spark, data)
+    assert plan_of(df).count("Join ") == 2  # rows know the first of their customer without meeting a table of them
+    assert sorted(map(tuple, df.collect())) == want

@@ -375,12 +375,15 @@ def tasks(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return Q.all_violations([broken("tasks", rows, TASK_RULES), Q.not_unique("tasks", rows, ["id"]), flag(active, "two_active"), flag(lost, "no_target_id")])
 
 
-def location_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
+def location_rows(rows: DataFrame, heads: DataFrame, dealt_over: int | None = None) -> DataFrame:
     """Rows of places: id, company_id, kind, precision, address, city, lat, lng. heads: the headquarters rows that companies imply.
 
     A company has one headquarters, which is as its own record says; an office without a place is no row; a point is whole and
-    stands where the precision is one of points.
+    stands where the precision is one of points. dealt_over: over how many tasks both come dealt by company (none given: rows are
+    counted and dealt here).
     """
+    n = tasks_for(rows) if dealt_over is None else dealt_over
+    mine, heads = (dealt(rows, n, "company_id"), dealt(heads, n, "company_id")) if dealt_over is None else (rows, heads)
     point = F.col("precision").isin("EXACT", "SUBURB")
     rules = {
         "kind": needed(F.col("kind").isin(*LOCATION_KINDS)), "precision": needed(F.col("precision").isin(*PRECISIONS)), "half_a_point": F.col("lat").isNull() == F.col("lng").isNull(),
@@ -388,14 +391,14 @@ def location_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
         "office_without_place": F.when(F.col("kind") == "OFFICE", needed(F.col("precision") != "UNKNOWN")),
     }
     own = heads.select("company_id", *[F.col(c).alias(f"__{c}") for c in ("precision", "address", "city", "lat", "lng")])
-    hq = rows.where("kind = 'HEADQUARTERS'").join(own, "company_id")
+    hq = mine.where("kind = 'HEADQUARTERS'").join(own, "company_id")
     differs = F.lit(False)
     for c in ("precision", "address", "city", "lat", "lng"):
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
     flag = lambda df, code: df.select(F.lit("locations").alias("table"), F.col("id").cast("string").alias("id"), F.lit(code).alias("code"))
-    two = rows.where("kind = 'HEADQUARTERS'").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
+    two = mine.where("kind = 'HEADQUARTERS'").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
     return Q.all_violations([
-        Q.violations("locations", rows, "id", rules), Q.not_unique("locations", rows, ["id"]), Q.orphans("locations", rows, "id", "company_id", heads, "company_id"), flag(hq.where(differs), "differs_from_company"), flag(two, "two_headquarters"),
+        Q.violations("locations", rows, "id", rules), Q.not_unique("locations", rows, ["id"], n), Q.orphans("locations", rows, "id", "company_id", heads, "company_id"), flag(hq.where(differs), "differs_from_company"), flag(two, "two_headquarters"),
     ])
 
 

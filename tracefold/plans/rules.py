@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators import validate
+from tracefold.operators.dealing import dealt, tasks_for
 from tracefold.plans.base import query
 from tracefold.session import table
 
@@ -73,14 +74,15 @@ UNION ALL SELECT 'locations', k.id::VARCHAR, 'differs_from_company' FROM k JOIN
 """)
 def location_violations(spark: SparkSession, d: str) -> DataFrame:
     """Orders as rows of places of customers; the first order of each is its headquarters."""
-    first = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    o = table(spark, d, "orders").join(first, "o_custkey")
+    orders = table(spark, d, "orders")
+    n = tasks_for(orders)
+    o = dealt(orders, n, "o_custkey").withColumn("first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
     m, p = F.col("o_orderkey") % 5, F.when(F.col("o_orderstatus") == "F", "EXACT").when(F.col("o_orderstatus") == "O", "CITY").otherwise("UNKNOWN")
     rows = o.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company_id"), F.when((F.col("o_orderkey") == F.col("first")) | (m == 0), "HEADQUARTERS").otherwise("OFFICE").alias("kind"), p.alias("precision"), F.when(m != 3, "1 High St").alias("address"), F.lit("Perth").alias("city"),
         F.when((p == "EXACT") & (m != 1), 1.0).alias("lat"), F.when((p == "EXACT") & ~m.isin(1, 2), 1.0).alias("lng"), "first",
     )
-    return validate.location_rows(rows.drop("first"), rows.where("id = first").drop("first", "id", "kind"))
+    return validate.location_rows(rows.drop("first"), rows.where("id = first").drop("first", "id", "kind"), n)
 
 
 @query("""
