@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import headlines, pages
 from tracefold.functions.names import SIMILAR
-from tracefold.operators import dealing, evidence, facts, quality, relations, resolve, spellings, subscriptions, validate
+from tracefold.operators import dealing, enrichment, evidence, facts, quality, relations, resolve, spellings, subscriptions, validate
 from tracefold.plans.registry import QUERIES
 
 
@@ -164,3 +164,23 @@ def test_query_of_places_deals_orders(spark, monkeypatch):
     df = QUERIES["location_violations"](spark, data)
     assert plan_of(df).count("Join ") == 2  # rows know the first of their customer without meeting a table of them
     assert sorted(map(tuple, df.collect())) == want
+
+
+def test_fields_are_filled_in_one_grouping(spark, monkeypatch):
+    claims = [
+        (1, "a", "x", "X", "high", 2), (1, "a", "x", "x", "low", 1), (1, "b", "x", "X", "low", 1), (1, "b", "y", "Y", "low", 2), (2, "a", "x", "X", "medium", 1), (2, "b", "x", "X", "high", 1), (3, "a", "x", "X", "high", 1),
+        (3, "b", "x", "X", "high", 1), (4, "a", None, None, None, None), (4, "b", None, "N", "high", 1), (4, "b", "x", "X", "low", 2), (None, "a", "x", "X", "high", 1), (5, None, "x", "X", "high", 1), (6, "a", "x", "X", "high", 1),
+    ]
+    active = spark.createDataFrame(claims, "company_id int, field string, key string, value string, confidence string, pos int")
+    touched = spark.createDataFrame([(i, f) for i in (1, 2, 3, 4, 7, None) for f in "ab"] * 2 + [(5, None)], "company_id int, field string")
+    stored = spark.createDataFrame([(2, "a", "x"), (2, "b", "z"), (3, "a", None), (6, "a", "x"), (7, "a", "x"), (8, "a", "x"), (None, "a", "x")], "company_id int, field string, stored_key string")
+    run = lambda: enrichment.fill_fields(active, touched, stored, ("a",), True)
+    want = [
+        (1, "a", "fill", "x", "high"), (1, "b", "conflict", None, "low"), (2, "a", "confirmed", "X", "medium"), (2, "b", "differs", "X", "high"), (3, "a", "fill", "X", "high"), (3, "b", "suggest", "X", "high"),
+        (4, "a", "suggest", None, "low"), (4, "b", "suggest", "N", "high"),
+    ]
+    assert sorted(map(tuple, run().collect())) == want
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 5)
+    df = run()
+    assert sorted(map(tuple, df.collect())) == want
+    assert "Join" not in plan_of(df) and plan_of(df).count("Aggregate") == plan_of(df).count("RepartitionByExpression") == 1

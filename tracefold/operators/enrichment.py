@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.operators.dealing import dealt, tasks_for
 from tracefold.operators.evidence import label, rank
 
 KEYS = ["company_id", "field", "key"]
@@ -30,15 +31,20 @@ def fill_fields(active: DataFrame, touched: DataFrame, stored: DataFrame, fillab
     """(company_id, field, action, value, best): what the active claims of each touched field mean for the record.
 
     active: company_id, field, key, value, confidence, pos (the order of claims); touched: (company_id, field); stored: company_id,
-    field, stored_key (null: unknown). conflict: the claims differ. confirmed: they say what the record says. differs: they
-    agree, and the record says something else, which is never overwritten. fill: the record says nothing, the field may be
-    filled, filling is on and a claim is of high confidence; suggest: the same without one of these.
+    field, stored_key (null: unknown), once for a field. conflict: the claims differ. confirmed: they say what the record says.
+    differs: they agree, and the record says something else, which is never overwritten. fill: the record says nothing, the
+    field may be filled, filling is on and a claim is of high confidence; suggest: the same without one of these.
     """
-    mine = active.join(touched.select("company_id", "field").distinct(), ["company_id", "field"], "left_semi")
-    per = mine.groupBy("company_id", "field").agg(F.countDistinct("key").alias("values"), F.min("key").alias("key"), F.min_by("value", "pos").alias("value"), F.max(rank(F.col("confidence"))).alias("best"))
-    j = per.join(stored.select("company_id", "field", "stored_key"), ["company_id", "field"], "left")
+    # claims, touched fields and the record meet in one grouping: they are dealt once and sorted once
+    of = ["company_id", "field"]
+    claims = active.select(*of, "key", "value", "pos", rank(F.col("confidence")).alias("best"), F.lit(True).alias("claim"))
+    met = claims.unionByName(touched.select(*of, F.lit(True).alias("touched")), True).unionByName(stored.select(*of, "stored_key"), True)
+    # keys differ where the least is not the greatest: to count them, claims would be sorted again
+    most = [F.max(c).alias(c) for c in ("best", "stored_key", "claim", "touched")]
+    per = dealt(met, tasks_for(met), *of).groupBy(*of).agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min_by("value", "pos").alias("value"), *most)
+    j = per.where("claim AND touched AND company_id IS NOT NULL AND field IS NOT NULL")
     may = F.col("field").isin(*fillable) & F.lit(fill) & (F.col("best") == 3)
     action = (
-        F.when(F.col("values") > 1, "conflict").when(F.col("stored_key") == F.col("key"), "confirmed").when(F.col("stored_key").isNotNull(), "differs").when(may, "fill").otherwise("suggest")
+        F.when(F.col("last") != F.col("key"), "conflict").when(F.col("stored_key") == F.col("key"), "confirmed").when(F.col("stored_key").isNotNull(), "differs").when(may, "fill").otherwise("suggest")
     )
     return j.select("company_id", "field", action.alias("action"), F.when(action != "conflict", F.col("value")).alias("value"), label(F.col("best")).alias("best"))
