@@ -1,15 +1,19 @@
 """Steps whose cost must follow the rows: what meets, what is carried and what is worked out how often."""
 
 import random
+import time
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracefold.functions import headlines, pages
 from tracefold.functions.names import SIMILAR
 from tracefold.operators import dealing, enrichment, evidence, facts, quality, relations, resolve, spellings, subscriptions, validate
 from tracefold.plans.registry import QUERIES
+from tracefold.shared import SWEEP, swept
 
 
 def plan_of(df) -> str:
@@ -17,6 +21,13 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def shuffle_bytes(spark) -> int:
+    """Of shuffle files on disk; what is to go is gone a moment after its job."""
+    time.sleep(2)
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
 def test_links_are_held_against_each_other_as_asked(spark):
     at = datetime(2024, 5, 1)
     rows = [("a", "https://x.example/1"), ("b", "http://x.example/1")]
@@ -106,6 +117,60 @@ def test_names_meet_on_nearly_whole_names(spark):
     assert resolve._similar(named, named).count() == 0
 
 
+def test_entries_are_packed_and_paired_a_bounded_number_at_a_time(spark, monkeypatch):
+    r = random.Random(5)
+    names = sorted({"".join(r.choice("abc") for _ in range(r.randint(5, 15))) for _ in range(150)} | {"a" * 9, "a" * 10, "works" * 4, "works" * 4 + "s"})
+    rows = [(((i % 3) << 40) + i * 4 + 1 + i % 3, n) for i, n in enumerate(names)]  # numbers far apart; one side, the other, both
+    monkeypatch.setattr(spellings, "PACKED", 3000)
+    monkeypatch.setattr(spellings, "CANDIDATES", 500)
+    lengths = Counter(map(len, names))
+    rounds = spellings._rounds(lengths)
+    assert len(rounds) == 1 and rounds[0][1] == sum(sum(spellings._kinds(n).values()) * k for n, k in lengths.items())
+    monkeypatch.setattr(spellings, "ENTRIES_A_ROUND", rounds[0][1] // 5)
+    rounds = spellings._rounds(lengths)
+    assert len(rounds) > 4 and sum(n for _, n in rounds) == sum(sum(spellings._kinds(n).values()) * k for n, k in lengths.items())
+    often, met = np.ones(spellings.CELLS, dtype=np.uint64), set()
+    for kinds, entries in rounds:
+        assert entries <= spellings.ENTRIES_A_ROUND or len(kinds) == 1
+        packed = list(spellings._entries(kinds, often, 7)(iter([pa.record_batch({"n": [n for n, _ in rows], "key": [k for _, k in rows]})])))
+        assert max(sum(map(len, b.column("data").to_pylist())) for b in packed) < 12 * (spellings.PACKED + 400_000)
+        for b in spellings._paired(iter(packed)):
+            met |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True))
+    crossed = lambda a, b: bool((a & 1 and b & 2) or (a & 2 and b & 1))
+    assert all(a < b and crossed(a, b) for a, b in met)
+    want = {(m, n) for m, a in rows for n, b in rows if m < n and crossed(m, n) and alike(a, b)}
+    assert want <= met and len(want) > 20
+    # all the same in rounds on Spark
+    frame = lambda side: spark.createDataFrame([(k,) for n, k in rows if n & side], "key string")
+    got = {tuple(x) for x in spellings.pairs_of_names(frame(1), frame(2)).collect()}
+    assert got == {(a, b) for m, a in rows for n, b in rows if a != b and m & 1 and n & 2 and alike(a, b)}
+
+
+def test_no_table_of_names_goes_by_way_of_the_driver(spark):
+    """Joins of leads and records merge: Spark takes a table for small by its bytes on disk, and 32 bytes a row there are hundreds in the driver."""
+    people = spark.createDataFrame([(f"{i}", [("acme", "acme", "primary")], [], [], [], "perth", None, None, []) for i in range(3)], "id string, names array<struct<key:string,loose:string,kind:string>>, domains array<struct<domain:string,shared:boolean,via:string>>, abn array<string>, acn array<string>, city string, state string, address string, people array<string>")
+    pairs = resolve.pairs(people, people)
+    named = people.select("id", F.explode("names").alias("n"))
+    keyed = resolve._keyed(named, "lead_id", 4), resolve._keyed(named, "record_id", 4)
+    spelt = spark.createDataFrame([("acme", "acme")], "lead_key string, record_key string")
+    for df in (resolve._begun(named, named), resolve._borne(spelt, *keyed), resolve.compare(spark.createDataFrame([("0", "1")], "lead_id string, record_id string"), people, people), resolve.resolve(people, people), QUERIES["resolve_leads"](spark, "/root/testdata/sf0.001")):
+        joins = [line for line in plan_of(df).splitlines() if "Join " in line]
+        assert joins and all("strategy=merge" in line for line in joins)
+    # the only others are with the widths of parts and with pairs of characters, of which there are few
+    others = [line for line in plan_of(pairs).splitlines() if "Join " in line and "strategy=merge" not in line]
+    assert all("width" in line or "gram" in line for line in others)
+    assert {tuple(x) for x in pairs.collect()} == {(f"{i}", f"{j}") for i in range(3) for j in range(3)}
+
+
+def test_what_is_saved_leaves_no_shuffle_files(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k")).repartition(3, "k").groupBy("k").count()
+    before = shuffle_bytes(spark)
+    saved = swept(df, "swept")
+    assert sorted(map(tuple, saved.collect())) == [(k, len(range(k, 1000, 7))) for k in range(7)]
+    assert shuffle_bytes(spark) <= before
+    assert spark.conf.get(SWEEP) == "false"
+
+
 def test_only_fields_that_are_asked_for_are_sought(spark):
     html = '<html><head><title>Acme</title><meta name="description" content="Tools"></head><body>Acme Works Pty Ltd, founded in 1999, ABN 51 824 753 556</body></html>'
     pages_ = spark.createDataFrame([(1, html)], "page_id long, html string")

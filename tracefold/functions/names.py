@@ -81,17 +81,25 @@ def dice(a: Column, b: Column) -> Column:
     return 2.0 * shared / (F.length(a) + F.length(b) - 2)
 
 
+def _dice(x: str | None, y: str | None) -> float:
+    if x is None or y is None or len(x) + len(y) <= 2:
+        return 0.0
+    gx, gy = Counter(map(str.__add__, x, x[1:])), Counter(map(str.__add__, y, y[1:]))
+    return 2 * sum((gx & gy).values()) / (len(x) + len(y) - 2)
+
+
 @F.pandas_udf(T.DoubleType())
 def dice_of_many(a: pd.Series, b: pd.Series) -> pd.Series:
     """`dice` for many pairs: the counting of repeats is quicker here than in nested array functions."""
+    return pd.Series([_dice(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def one(x: str | None, y: str | None) -> float:
-        if x is None or y is None or len(x) + len(y) <= 2:
-            return 0.0
-        gx, gy = Counter(map(str.__add__, x, x[1:])), Counter(map(str.__add__, y, y[1:]))
-        return 2 * sum((gx & gy).values()) / (len(x) + len(y) - 2)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def dices_of_names(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`dice` of each name of the one list with each of the other, row by row of the table that they make."""
+    none: tuple[str, ...] = ()
+    lists = ((none if x is None else x, none if y is None else y) for x, y in zip(a, b, strict=True))
+    return pd.Series([[_dice(x, y) for x in xs for y in ys] for xs, ys in lists], dtype="object")
 
 
 def similarity(a: Column, b: Column) -> Column:

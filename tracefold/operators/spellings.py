@@ -16,12 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.names import SIMILAR, SIMILAR_LENGTH, dice_of_many
-from tracefold.shared import saved
+from tracefold.shared import swept
 
 #: The longest name that makes such keys: it may have lost three characters; the keys of longer ones would be too many.
 LONGEST = 24
 #: Keys of one array in a task.
 AT_ONCE = 400_000
+#: Entries (a key and whose it is) that a task packs at once, and that one task pairs.
+PACKED, ENTRIES_A_TASK = 1_000_000, 2_000_000
+#: Places that entries are dealt to, for each task: several, so that tasks are of nearly one size.
+PLACES_A_TASK = 4
+#: Entries that are shuffled in one round.
+ENTRIES_A_ROUND = 600_000_000
+#: Candidates of one array in a task, and those that one task checks.
+CANDIDATES, CANDIDATES_A_TASK = 1_000_000, 1_000_000
+#: Bits of a name's pairs of characters beside its key; five bits hold their number.
+BITS = 27
 #: Pairs of characters are ordered by how often their part of so many comes up.
 CELLS = 1 << 16
 #: How many pairs of characters, the rarest shared ones, make a key, by how many the two names may differ in.
@@ -56,21 +66,24 @@ def _by_length(names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.array([names[i] for i in at], dtype=f"<U{size}").view(np.uint32).reshape(len(at), size).astype(np.uint64)
 
 
-def _left_over(codes: np.ndarray) -> Iterator[np.ndarray]:
+def _left_over(size: int) -> Iterator[tuple[str, int, Callable]]:
     """Keys for edits: a name without some characters, for each length of the longer name of a pair.
 
     Of a name of m characters at least m - e stand whole in a partner that is e edits away and no longer, so both can be
-    brought to the same m - e characters.
+    brought to the same m - e characters. Each kind of key with its number and how it is made.
     """
-    size = codes.shape[1]
     kept = {m - edits_of(m) for m in range(size, LONGEST + 1)}
     for r in sorted(k for k in kept if k <= size):
         places = np.array(list(combinations(range(size), r)), dtype=np.intp)
-        key = np.full((len(codes), len(places)), r, dtype=np.uint64)
-        for c in range(r):
-            key = key * _ODD + codes[:, places[:, c]]
-            key ^= key >> np.uint64(29)
-        yield _mixed(key)
+
+        def make(codes: np.ndarray, r: int = r, places: np.ndarray = places) -> np.ndarray:
+            key = np.full((len(codes), len(places)), r, dtype=np.uint64)
+            for c in range(r):
+                key = key * _ODD + codes[:, places[:, c]]
+                key ^= key >> np.uint64(29)
+            return _mixed(key)
+
+        yield f"left {r}", len(places), make
 
 
 def _numbered(codes: np.ndarray) -> np.ndarray:
@@ -86,43 +99,151 @@ def _cell(grams: np.ndarray) -> np.ndarray:
     return (grams % np.uint64(CELLS)).astype(np.intp)
 
 
-def _rarest_shared(codes: np.ndarray, often: np.ndarray) -> Iterator[np.ndarray]:
-    """Keys for Dice: for each number of pairs that a partner may have, the sets that may be the rarest of what both share.
+def _ordered(grams: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Numbers of a name's pairs of characters, the rarest first."""
+    # the order is the identity: what ties in it is one pair of characters for both names
+    return _mixed(np.sort((often[_cell(grams)] << np.uint64(33)) | (grams >> np.uint64(31)), axis=1))
+
+
+def _rarest_shared(size: int) -> Iterator[tuple[str, int, Callable]]:
+    """Keys for Dice, of names of so many pairs of characters: for each number of pairs that a partner may have, the sets that may be the rarest of what both share.
 
-    With o of n pairs shared, the j rarest shared ones are among the first n - o + j in the common order.
+    With o of n pairs shared, the j rarest shared ones are among the first n - o + j in the common order. Each kind of key
+    with its number and how it is made from the ordered pairs.
     """
-    grams = _numbered(codes)
-    # the order is the identity: what ties in it is one pair of characters for both names
-    grams = np.sort((often[_cell(grams)] << np.uint64(33)) | (grams >> np.uint64(31)), axis=1)
-    values, size = _mixed(grams), grams.shape[1]
     for other in range(SIMILAR_LENGTH, LONGEST):
         shared = shared_of(size, other)
         if shared > min(size, other):
             continue
         taken = min(TAKEN.get(max(size, other) - shared, FEWEST_TAKEN), shared)
-        first = values[:, : size - shared + taken]
-        ways = list(combinations(range(first.shape[1]), size - shared))
+        first, lengths = size - shared + taken, (min(size, other), max(size, other))
+        ways = list(combinations(range(first), size - shared))
         left_out = np.array(ways, dtype=np.intp).reshape(len(ways), size - shared)
-        sums = first.sum(1, dtype=np.uint64)[:, None] - first[:, left_out].sum(2, dtype=np.uint64)
-        yield _mixed(sums * _ODD + np.uint64(64 * min(size, other) + max(size, other)))
 
-
-def _keys(make: Callable[[np.ndarray], Iterator[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(k, n) rows of (n, key) rows, a bounded number at a time."""
+        def make(values: np.ndarray, first: int = first, left_out: np.ndarray = left_out, lengths: tuple[int, int] = lengths) -> np.ndarray:
+            values = values[:, :first]
+            sums = np.repeat(values.sum(1, dtype=np.uint64)[:, None], len(left_out), axis=1)
+            for c in range(left_out.shape[1]):
+                sums -= values[:, left_out[:, c]]
+            return _mixed(sums * _ODD + np.uint64(64 * lengths[0] + lengths[1]))
+
+        yield f"shared {lengths[0]} {lengths[1]}", len(ways), make
+
+
+def _kinds(length: int) -> dict[str, int]:
+    """The kinds of keys of a name of so many characters, and how many of each."""
+    out = {kind: n for kind, n, _ in _left_over(length)}
+    return out | ({kind: n for kind, n, _ in _rarest_shared(length - 1)} if length > SIMILAR_LENGTH else {})
+
+
+def _rounds(lengths: dict[int, int]) -> list[tuple[set[str], int]]:
+    """Kinds of keys that are shuffled together, with the number of their entries, by how many names have each length."""
+    total: dict[str, int] = {}
+    for length, names in lengths.items():
+        for kind, n in _kinds(length).items():
+            total[kind] = total.get(kind, 0) + n * names
+    out: list[tuple[set[str], int]] = []
+    for kind, n in sorted(total.items(), key=lambda x: (-x[1], x[0])):
+        fits = next((i for i, (_, m) in enumerate(out) if m + n <= ENTRIES_A_ROUND), None)
+        if fits is None:
+            out.append(({kind}, n))
+        else:
+            out[fits] = (out[fits][0] | {kind}, out[fits][1] + n)
+    return out
+
+
+def _packed(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, places: int) -> Iterator[pa.RecordBatch]:
+    """(place, high, data): entries by the place that their key falls to; what varies little lies together, so that it is compressed."""
+    for high in np.unique(ids >> 32):
+        at = np.flatnonzero(ids >> 32 == high)
+        at = at[np.argsort(keys[at])]
+        at = at[np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]) | (ids[at[1:]] != ids[at[:-1]])])]
+        spread = (keys[at] >> np.uint64(16)) * np.uint64(places)
+        place = (spread >> np.uint64(48)).astype(np.int64)
+        parts = np.stack([((spread >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4"), (ids[at] & 0xFFFFFFFF).astype("<u4"), words[at].astype("<u4")])
+        planes = parts.view(np.uint8).reshape(3, len(at), 4)
+        ends = np.flatnonzero(np.diff(place, append=-1)) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        data = [planes[:, i:j].transpose(0, 2, 1).tobytes() for i, j in zip(begins, ends, strict=True)]
+        yield pa.record_batch({"place": pa.array(place[begins].astype(np.int32)), "high": pa.array(np.full(len(begins), high, dtype=np.int64)), "data": pa.array(data, pa.binary())})
+
+
+def _entries(wanted: set[str], often: np.ndarray, places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed entries of (n, key) rows, a bounded number at a time, of the kinds that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step, makers = max(1, AT_ONCE // 2048), {}
         for batch in batches:
             n = batch.column("n").to_numpy()
-            for at, codes in _by_length(batch.column("key").to_pylist()):
-                step = max(1, AT_ONCE // 2048)
+            for at, every in _by_length(batch.column("key").to_pylist()):
+                size = every.shape[1]
+                if size not in makers:
+                    makers[size] = [[m for m in ms if m[0] in wanted] for ms in (_left_over(size), _rarest_shared(size - 1) if size > SIMILAR_LENGTH else ())]
+                left, shared = makers[size]
                 for i in range(0, len(at), step):
-                    for keys in make(codes[i : i + step]):
-                        ids = np.repeat(n[at[i : i + step]], keys.shape[1])
-                        yield pa.record_batch({"k": keys.reshape(-1).view(np.int64), "n": ids})
+                    codes, ids = every[i : i + step], n[at[i : i + step]]
+                    made = [(make(codes), np.full(len(ids), size, dtype=np.uint32)) for _, _, make in left]
+                    if shared:
+                        grams = _numbered(codes)
+                        values, bits = _ordered(grams, often), np.left_shift(np.uint32(1), (grams % np.uint64(BITS)).astype(np.uint32))
+                        words = np.bitwise_xor.reduce(bits, axis=1) << np.uint32(5) | np.uint32(size - 1)
+                        made += [(make(values), words) for _, _, make in shared]
+                    held += [(keys.reshape(-1), np.repeat(ids, keys.shape[1]), np.repeat(words, keys.shape[1])) for keys, words in made]
+                    if sum(len(h[0]) for h in held) >= PACKED:
+                        yield from _packed(*map(np.concatenate, zip(*held, strict=True)), places)
+                        held = []
+        if held:
+            yield from _packed(*map(np.concatenate, zip(*held, strict=True)), places)
 
     return run
 
 
+#: By the sum of their numbers of pairs of characters: in how many of them two names may differ.
+_APART = np.array([n - 2 * shared_of(n, 0) for n in range(2 * LONGEST)])
+
+
+def _met(entries: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: names of both sides that have a key in common, of one place. Bits of either name that the other has not are pairs of characters in which they differ."""
+    planes = [(high, np.frombuffer(data, np.uint8).reshape(3, 4, -1)) for high, data in entries]
+    parts = [np.ascontiguousarray(p.transpose(0, 2, 1)).view("<u4")[:, :, 0] for _, p in planes]
+    key, low, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    n = np.concatenate([np.full(p.shape[1], high << 32, dtype=np.int64) for (high, _), p in zip(planes, parts, strict=True)]) | low
+    order = (np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.intp)
+    key, n, word = key[order], n[order], word[order]
+    at, d, found, held = np.arange(len(key)), 0, [], 0
+    while len(at):
+        d += 1
+        at = at[: np.searchsorted(at, len(key) - d)]
+        at = at[key[at] == key[at + d]]
+        for i in range(0, len(at), CANDIDATES):
+            x = at[i : i + CANDIDATES]
+            y = x + d
+            crossed = (n[x] & 1 & (n[y] >> 1)) | ((n[x] >> 1) & 1 & n[y])
+            near = np.bitwise_count((word[x] ^ word[y]) >> np.uint32(5)) <= _APART[(word[x] & np.uint32(31)) + (word[y] & np.uint32(31))]
+            ok = (n[x] != n[y]) & (crossed & 1 > 0) & near
+            x, y = n[x[ok]], n[y[ok]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+            held += len(x)
+        if held and (held >= CANDIDATES or not len(at)):
+            a, b = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield pa.record_batch({"a": a[once], "b": b[once]})
+            found, held = [], 0
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the places of a task, one place at a time."""
+    places: dict[int, list[tuple[int, bytes]]] = {}
+    for batch in batches:
+        for place, high, data in zip(*(batch.column(c).to_pylist() for c in ("place", "high", "data")), strict=True):
+            places.setdefault(place, []).append((high, data))
+    while places:
+        yield from _met(places.popitem()[1])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many pairs of characters of a task's names fall into each cell."""
     sums = np.zeros(CELLS, dtype=np.int64)
@@ -136,31 +257,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pairs_of_names(leads: DataFrame, records: DataFrame) -> DataFrame:
     """(lead_key, record_key): all pairs of different names, of SIMILAR_LENGTH to LONGEST characters both, of similarity SIMILAR or more.
 
-    leads and records: key. A name is looked at once, however many leads and records bear it.
+    leads and records: key. A name is looked at once, however many leads and records bear it. Keys are packed, some thousand
+    in a row, and paired in arrays; kinds of keys, which never meet, go in rounds, each of which leaves only its candidates.
     """
+    spark = leads.sparkSession
     sides = leads.select("key", F.lit(1).alias("side")).unionByName(records.select("key", F.lit(2).alias("side")))
     sides = sides.where(F.length("key").between(SIMILAR_LENGTH, LONGEST)).distinct().groupBy("key").agg(F.sum("side").cast("long").alias("side"))
     # the last two bits of a number say where the name stands
-    names = saved(sides.select((F.monotonically_increasing_id() * 4 + F.col("side")).alias("n"), "key"), "names")
+    names = swept(sides.select((F.monotonically_increasing_id() * 4 + F.col("side")).alias("n"), "key"), "names")
     often = np.ones(CELLS, dtype=np.uint64)
     long = names.where(F.length("key") > SIMILAR_LENGTH)
     for r in long.mapInArrow(_counted, "cell long, often long").groupBy("cell").agg(F.sum("often").alias("often")).collect():
         often[r.cell] = min(r.often, (1 << 31) - 1)
-
-    def met(d: DataFrame, make) -> DataFrame:
-        # names are few bytes and make many keys: as many tasks make them as will sort them
-        keys = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_keys(make), "k long, n long")
-        a, b = keys.select("k", F.col("n").alias("a")), keys.select("k", F.col("n").alias("b"))
-        crossed = (F.col("a").bitwiseAND(1) * F.col("b").bitwiseAND(2) + F.col("a").bitwiseAND(2) * F.col("b").bitwiseAND(1)) > 0
-        found = a.join(b.hint("merge"), "k").where((F.col("a") < F.col("b")) & crossed).select("a", "b").distinct()
-        for end in ("a", "b"):
-            found = found.join(names.select(F.col("n").alias(end), F.col("key").alias(f"{end}_key")), end)
-        return found
-
-    most = F.floor((1 - SIMILAR) * F.greatest(F.length("a_key"), F.length("b_key")) + 1e-9).cast("int")
-    by_edits = met(names, _left_over).where(F.levenshtein("a_key", "b_key") <= most)
-    by_pairs = met(long, lambda codes: _rarest_shared(codes, often)).where(dice_of_many(F.col("a_key"), F.col("b_key")) >= SIMILAR - 1e-9)
-    found = by_edits.unionByName(by_pairs).distinct()
+    lengths = {r.length: r.names for r in names.groupBy(F.length("key").alias("length")).agg(F.count(F.lit(1)).alias("names")).collect()}
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def candidates(kinds: set[str], entries: int) -> DataFrame:
+        tasks = max(fewest, -(-entries // ENTRIES_A_TASK))
+        # names are few bytes and make many keys: they are dealt anew
+        packed = names.repartition(fewest).mapInArrow(_entries(kinds, often, min(tasks * PLACES_A_TASK, 1 << 16)), "place int, high long, data binary")
+        return swept(packed.repartition(tasks, "place").mapInArrow(_paired, "a long, b long"), "candidates")
+
+    found = spark.createDataFrame([], "a long, b long")
+    for kinds, entries in _rounds(lengths):
+        found = found.unionByName(candidates(kinds, entries))
+    tasks = max(fewest, -(-found.count() // CANDIDATES_A_TASK))
+    found = found.repartition(tasks, "a").distinct()
+    for end in ("a", "b"):
+        found = found.join(names.select(F.col("n").alias(end), F.col("key").alias(f"{end}_key")).hint("merge"), end)
+    a, b = F.col("a_key"), F.col("b_key")
+    edits = F.levenshtein(a, b) <= F.floor((1 - SIMILAR) * F.greatest(F.length(a), F.length(b)) + 1e-9)
+    # what is near by edits, or too short, need not be counted for Dice
+    found = found.withColumn("edits", edits).where(F.col("edits") | (dice_of_many(F.when(~F.col("edits") & (F.least(F.length(a), F.length(b)) > SIMILAR_LENGTH), a), b) >= SIMILAR - 1e-9))
     ways = F.array(*[F.struct(F.col(x).alias("l"), F.col(y).alias("r"), F.col(f"{x}_key").alias("lead_key"), F.col(f"{y}_key").alias("record_key")) for x, y in (("a", "b"), ("b", "a"))])
     stands = F.filter(ways, lambda w: (w["l"].bitwiseAND(1) > 0) & (w["r"].bitwiseAND(2) > 0))
-    return found.select(F.explode(stands).alias("w")).select("w.lead_key", "w.record_key")
+    return swept(found.select(F.explode(stands).alias("w")).select("w.lead_key", "w.record_key"), "spellings")

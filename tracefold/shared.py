@@ -27,3 +27,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Spark's switch for removing the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def swept(df: DataFrame, name: str) -> DataFrame:
+    """`saved`, after which the shuffle files of `df` are gone: a job of many steps holds on disk what one step shuffles."""
+    conf = df.sparkSession.conf
+    before = conf.get(SWEEP, None)
+    conf.set(SWEEP, "true")
+    try:
+        return saved(df, name)
+    finally:
+        conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)
