@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from tests.test_scale import plan_of, shuffle_bytes
 from tracefold.operators import discovery, graph, resolve
 
 IDENTITY = "names array<struct<key:string,loose:string,kind:string>>, domains array<struct<domain:string,shared:boolean,via:string>>, abn array<string>, acn array<string>, city string, state string, address string, people array<string>"
@@ -67,6 +70,18 @@ def test_a_run_equals_one_lead_after_another(spark):
     assert {k: v.target_id for k, v in got.items() if v.state == "attached"} == {k: v[1] for k, v in want.items() if v[0] == "attached"}
 
 
+def test_a_run_leaves_what_it_says_and_little_else_on_disk(spark):
+    r = random.Random(11)
+    leads = [(f"l{i}", 10**9 + i * 7, "s", f"k{i}", "x", *identity(r, "".join(r.choice("abcdefgh") for _ in range(14)))) for i in range(200)]
+    lead_df = spark.createDataFrame(leads, f"id string, pos long, source_id string, key string, name string, {IDENTITY}").withColumn("name", F.lit("a name"))
+    before = shuffle_bytes(spark)
+    found = discovery.run(lead_df, spark.createDataFrame([("c", *identity(r))], f"id string, {IDENTITY}"))
+    assert shuffle_bytes(spark) - before < 100_000  # counts that are collected; the keys of names alone are more
+    joins = [line for line in plan_of(found).splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    assert found.count() == 200
+
+
 def test_nothing_to_discover(spark):
     leads = spark.createDataFrame([], f"id string, pos long, source_id string, key string, name string, {IDENTITY}")
     companies = spark.createDataFrame([], f"id string, {IDENTITY}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.shared import saved
+from tracefold.shared import saved, swept
 
 
 def greedy_first(rivals: DataFrame) -> DataFrame:
@@ -18,14 +18,14 @@ def greedy_first(rivals: DataFrame) -> DataFrame:
     rivals: (late, early), each pair once, the earlier node second; every node that is not returned is chosen. A round chooses
     the nodes all of whose earlier rivals are settled, and settles those that they rule out.
     """
-    left = saved(rivals.select("late", "early").distinct(), "rivals")
+    left = swept(rivals.select("late", "early").distinct(), "rivals")
     out = []
     while not left.isEmpty():
-        chosen = left.select(F.col("early").alias("id")).distinct().join(left.select(F.col("late").alias("id")).distinct(), "id", "left_anti")
-        ruled = saved(left.join(chosen.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct(), "ruled")
+        chosen = left.select(F.col("early").alias("id")).distinct().join(left.select(F.col("late").alias("id")).distinct().hint("merge"), "id", "left_anti")
+        ruled = swept(left.join(chosen.withColumnRenamed("id", "early").hint("merge"), "early", "left_semi").select(F.col("late").alias("id")).distinct(), "ruled")
         out.append(ruled)
-        left = left.join(ruled.withColumnRenamed("id", "late"), "late", "left_anti").join(ruled.withColumnRenamed("id", "early"), "early", "left_anti")
-        left = saved(left, "rivals")
+        left = left.join(ruled.withColumnRenamed("id", "late").hint("merge"), "late", "left_anti").join(ruled.withColumnRenamed("id", "early").hint("merge"), "early", "left_anti")
+        left = swept(left, "rivals")
     if not out:
         return rivals.select(F.col("late").alias("id")).limit(0)
     all_ruled = out[0]

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.operators import discovery
 from tracefold.plans.base import query
-from tracefold.plans.resolution import identities, made_name
-from tracefold.session import table
+from tracefold.plans.resolution import customers, identities, made_name
 
 _SYLLABLES = "['ka', 'lo', 'mi', 'tur', 'ben', 'sol', 'ra', 've', 'dan', 'pix', 'qui', 'fen', 'zor', 'hu', 'gra', 'wes', 'yt', 'omb', 'cli', 'eph']"
 
@@ -47,7 +46,7 @@ FROM v LEFT JOIN l ON l.id = v.id LEFT JOIN m ON m.id = v.id LEFT JOIN g ON g.k
 """)
 def discovery_run(spark: SparkSession, d: str) -> DataFrame:
     """Leads about customers, a third of which are companies already; tests hold every state against a run one by one."""
-    c = table(spark, d, "customer").withColumn("city", F.concat(F.lit("c"), F.col("c_nationkey").cast("string")))
+    c = customers(spark, d)
     key = F.col("c_custkey")
     name = made_name(key * 792_413)
     site = F.concat(name, key.cast("string"), F.lit(".example"))
@@ -61,6 +60,6 @@ def discovery_run(spark: SparkSession, d: str) -> DataFrame:
         "id", (F.col("id") * 48271 % 2147483647).alias("pos"), F.lit("one").alias("source_id"),
         F.concat_ws("-", key.cast("string"), F.when((v == 3) & (key % 5 == 0), 0).otherwise(v).cast("string")).alias("key"), F.col("spelt").alias("name"),
     )
-    found = discovery.run(leads.join(about, "id"), companies)
+    found = discovery.run(leads.join(about.hint("merge"), "id"), companies)
     state = F.when(F.col("state").isin("review", "new"), "kept").otherwise(F.col("state"))
     return found.select("lead_id", state.alias("state"), F.when(state.isin("matched", "attached"), F.col("target_id").cast("long")).alias("target_id"))
