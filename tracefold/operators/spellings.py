@@ -31,7 +31,9 @@ ENTRIES_A_ROUND = 600_000_000
 #: Candidates of one array in a task, and those that one task checks.
 CANDIDATES, CANDIDATES_A_TASK = 1_000_000, 1_000_000
 #: Bits of a name's pairs of characters beside its key; five bits hold their number.
-BITS = 27
+BITS = 59
+#: Characters that are told apart where a name lost them; others count as different from all.
+TOLD_APART = "abcdefghijklmnopqrstuvwxyz01234"
 #: Pairs of characters are ordered by how often their part of so many comes up.
 CELLS = 1 << 16
 #: How many pairs of characters, the rarest shared ones, make a key, by how many the two names may differ in.
@@ -39,6 +41,7 @@ TAKEN = {0: 12, 1: 9, 2: 7, 3: 5}
 FEWEST_TAKEN = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TOLD = np.array(sorted(map(ord, TOLD_APART)), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,18 +73,28 @@ def _left_over(size: int) -> Iterator[tuple[str, int, Callable]]:
     """Keys for edits: a name without some characters, for each length of the longer name of a pair.
 
     Of a name of m characters at least m - e stand whole in a partner that is e edits away and no longer, so both can be
-    brought to the same m - e characters. Each kind of key with its number and how it is made.
+    brought to the same m - e characters. Each kind of key with its number and how it is made, with a word that says what was
+    taken out: up to three times the gap (from 1, five bits) and the character (five bits), and in the highest two bits how many
+    it were if that is just what a name of this length may differ in. What was taken out before all that is left is not named.
     """
     kept = {m - edits_of(m) for m in range(size, LONGEST + 1)}
     for r in sorted(k for k in kept if k <= size):
         places = np.array(list(combinations(range(size), r)), dtype=np.intp)
+        out = np.array([sorted(set(range(size)) - set(p)) for p in places.tolist()], dtype=np.intp).reshape(len(places), size - r)
+        gaps = (out - np.arange(size - r)).astype(np.uint32)  # how many of those that are left stand before
+        most = np.uint32((size - r if size - r == edits_of(size) else 0) << 30)
 
-        def make(codes: np.ndarray, r: int = r, places: np.ndarray = places) -> np.ndarray:
+        def make(codes: np.ndarray, r: int = r, places: np.ndarray = places, out: np.ndarray = out, gaps: np.ndarray = gaps, most: np.uint32 = most) -> tuple[np.ndarray, np.ndarray]:
             key = np.full((len(codes), len(places)), r, dtype=np.uint64)
             for c in range(r):
                 key = key * _ODD + codes[:, places[:, c]]
                 key ^= key >> np.uint64(29)
-            return _mixed(key)
+            told = np.searchsorted(_TOLD, codes).clip(0, len(_TOLD) - 1)
+            told = np.where(_TOLD[told] == codes, told, 31).astype(np.uint32)
+            word = np.full((len(codes), len(places)), most, dtype=np.uint32)
+            for c in range(out.shape[1]):
+                word |= np.where(gaps[:, c] > 0, gaps[:, c] << np.uint32(5) | told[:, out[:, c]], np.uint32(0)) << np.uint32(10 * c)
+            return _mixed(key), word.astype(np.uint64)
 
         yield f"left {r}", len(places), make
 
@@ -137,14 +150,15 @@ def _kinds(length: int) -> dict[str, int]:
 
 
 def _rounds(lengths: dict[int, int]) -> list[tuple[set[str], int]]:
-    """Kinds of keys that are shuffled together, with the number of their entries, by how many names have each length."""
+    """Kinds of keys, all for edits or all for Dice, that are shuffled together, with the number of their entries, by how many names have each length."""
     total: dict[str, int] = {}
     for length, names in lengths.items():
         for kind, n in _kinds(length).items():
             total[kind] = total.get(kind, 0) + n * names
     out: list[tuple[set[str], int]] = []
     for kind, n in sorted(total.items(), key=lambda x: (-x[1], x[0])):
-        fits = next((i for i, (_, m) in enumerate(out) if m + n <= ENTRIES_A_ROUND), None)
+        sort = kind.split()[0]
+        fits = next((i for i, (kinds, m) in enumerate(out) if m + n <= ENTRIES_A_ROUND and sort == next(iter(kinds)).split()[0]), None)
         if fits is None:
             out.append(({kind}, n))
         else:
@@ -152,16 +166,20 @@ def _rounds(lengths: dict[int, int]) -> list[tuple[set[str], int]]:
     return out
 
 
+def _near(kinds: set[str]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return _by_edits if next(iter(kinds)).startswith("left") else _by_pairs
+
+
 def _packed(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, places: int) -> Iterator[pa.RecordBatch]:
     """(place, high, data): entries by the place that their key falls to; what varies little lies together, so that it is compressed."""
     for high in np.unique(ids >> 32):
         at = np.flatnonzero(ids >> 32 == high)
         at = at[np.argsort(keys[at])]
-        at = at[np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]) | (ids[at[1:]] != ids[at[:-1]])])]
+        at = at[np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]) | (ids[at[1:]] != ids[at[:-1]]) | (words[at[1:]] != words[at[:-1]])])]
         spread = (keys[at] >> np.uint64(16)) * np.uint64(places)
         place = (spread >> np.uint64(48)).astype(np.int64)
-        parts = np.stack([((spread >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4"), (ids[at] & 0xFFFFFFFF).astype("<u4"), words[at].astype("<u4")])
-        planes = parts.view(np.uint8).reshape(3, len(at), 4)
+        parts = np.stack([((spread >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4"), (ids[at] & 0xFFFFFFFF).astype("<u4"), (words[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), (words[at] >> np.uint64(32)).astype("<u4")])
+        planes = parts.view(np.uint8).reshape(4, len(at), 4)
         ends = np.flatnonzero(np.diff(place, append=-1)) + 1
         begins = np.concatenate([[0], ends[:-1]])
         data = [planes[:, i:j].transpose(0, 2, 1).tobytes() for i, j in zip(begins, ends, strict=True)]
@@ -183,13 +201,13 @@ def _entries(wanted: set[str], often: np.ndarray, places: int) -> Callable[[Iter
                 left, shared = makers[size]
                 for i in range(0, len(at), step):
                     codes, ids = every[i : i + step], n[at[i : i + step]]
-                    made = [(make(codes), np.full(len(ids), size, dtype=np.uint32)) for _, _, make in left]
+                    made = [make(codes) for _, _, make in left]
                     if shared:
                         grams = _numbered(codes)
-                        values, bits = _ordered(grams, often), np.left_shift(np.uint32(1), (grams % np.uint64(BITS)).astype(np.uint32))
-                        words = np.bitwise_xor.reduce(bits, axis=1) << np.uint32(5) | np.uint32(size - 1)
-                        made += [(make(values), words) for _, _, make in shared]
-                    held += [(keys.reshape(-1), np.repeat(ids, keys.shape[1]), np.repeat(words, keys.shape[1])) for keys, words in made]
+                        values, bits = _ordered(grams, often), np.left_shift(np.uint64(1), grams % np.uint64(BITS))
+                        words = np.bitwise_xor.reduce(bits, axis=1) << np.uint64(5) | np.uint64(size - 1)
+                        made += [(keys, np.repeat(words[:, None], keys.shape[1], axis=1)) for keys in (make(values) for _, _, make in shared)]
+                    held += [(keys.reshape(-1), np.repeat(ids, keys.shape[1]), words.reshape(-1)) for keys, words in made]
                     if sum(len(h[0]) for h in held) >= PACKED:
                         yield from _packed(*map(np.concatenate, zip(*held, strict=True)), places)
                         held = []
@@ -203,11 +221,42 @@ def _entries(wanted: set[str], often: np.ndarray, places: int) -> Callable[[Iter
 _APART = np.array([n - 2 * shared_of(n, 0) for n in range(2 * LONGEST)])
 
 
-def _met(entries: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b: names of both sides that have a key in common, of one place. Bits of either name that the other has not are pairs of characters in which they differ."""
-    planes = [(high, np.frombuffer(data, np.uint8).reshape(3, 4, -1)) for high, data in entries]
+def _by_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether names may be near by Dice: bits of either that the other has not are pairs of characters in which they differ."""
+    return np.bitwise_count((x ^ y) >> np.uint64(5)) <= _APART[(x & np.uint64(31)) + (y & np.uint64(31))]
+
+
+def _by_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether names may be near by edits, by what each has lost in each gap, and should not meet on another key.
+
+    Names within e edits have, of the ways to line them up with so few, one with the most characters left; its last ones are
+    a key of both. There the losses of a gap cost the larger number, e in all at most, and no gap has lost one character in
+    both: it could have stayed, with no more edits. (Only where all three of both are lost in one gap it might cost one more.)
+    """
+    x, y = x.astype(np.uint32), y.astype(np.uint32)
+    lost = [[(w >> np.uint32(10 * c)) & np.uint32(1023) for c in range(3)] for w in (x, y)]
+    gaps = [[v >> np.uint32(5) for v in side] for side in lost]
+    # losses of one gap are numbered, so that those of the other name stand against one each
+    nth = [[np.zeros(len(x), dtype=np.uint32), (g[1] == g[0]).astype(np.uint32), (g[2] == g[0]).astype(np.uint32) + (g[2] == g[1])] for g in gaps]
+    slots = [[g * np.uint32(4) + k for g, k in zip(gs, ks, strict=True)] for gs, ks in zip(gaps, nth, strict=True)]
+    cost = sum((g > 0).astype(np.int8) for side in gaps for g in side)
+    same = np.zeros(len(x), dtype=bool)
+    for i in range(3):
+        there = gaps[0][i] > 0
+        told = there & (lost[0][i] & np.uint32(31) != 31)
+        for j in range(3):
+            cost -= there & (slots[0][i] == slots[1][j])
+            same |= told & (lost[0][i] == lost[1][j])
+    one_gap = [(g[0] > 0) & (g[0] == g[1]) & (g[0] == g[2]) for g in gaps]
+    return (cost <= np.maximum(x >> np.uint32(30), y >> np.uint32(30)).astype(np.int8)) & (~same | (one_gap[0] & one_gap[1]))
+
+
+def _met(entries: list[tuple[int, bytes]], near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: names of both sides, of one place, that have a key in common and may be near by what stands beside it."""
+    planes = [(high, np.frombuffer(data, np.uint8).reshape(4, 4, -1)) for high, data in entries]
     parts = [np.ascontiguousarray(p.transpose(0, 2, 1)).view("<u4")[:, :, 0] for _, p in planes]
-    key, low, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    key, low, word, more = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    word = word.astype(np.uint64) | more.astype(np.uint64) << np.uint64(32)
     n = np.concatenate([np.full(p.shape[1], high << 32, dtype=np.int64) for (high, _), p in zip(planes, parts, strict=True)]) | low
     order = (np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.intp)
     key, n, word = key[order], n[order], word[order]
@@ -220,8 +269,9 @@ def _met(entries: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             x = at[i : i + CANDIDATES]
             y = x + d
             crossed = (n[x] & 1 & (n[y] >> 1)) | ((n[x] >> 1) & 1 & n[y])
-            near = np.bitwise_count((word[x] ^ word[y]) >> np.uint32(5)) <= _APART[(word[x] & np.uint32(31)) + (word[y] & np.uint32(31))]
-            ok = (n[x] != n[y]) & (crossed & 1 > 0) & near
+            ok = (n[x] != n[y]) & (crossed & 1 > 0)
+            x, y = x[ok], y[ok]
+            ok = near(word[x], word[y])
             x, y = n[x[ok]], n[y[ok]]
             found.append((np.minimum(x, y), np.maximum(x, y)))
             held += len(x)
@@ -234,14 +284,18 @@ def _met(entries: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             found, held = [], 0
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidates of the places of a task, one place at a time."""
-    places: dict[int, list[tuple[int, bytes]]] = {}
-    for batch in batches:
-        for place, high, data in zip(*(batch.column(c).to_pylist() for c in ("place", "high", "data")), strict=True):
-            places.setdefault(place, []).append((high, data))
-    while places:
-        yield from _met(places.popitem()[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for place, high, data in zip(*(batch.column(c).to_pylist() for c in ("place", "high", "data")), strict=True):
+                places.setdefault(place, []).append((high, data))
+        while places:
+            yield from _met(places.popitem()[1], near)
+
+    return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +330,7 @@ def pairs_of_names(leads: DataFrame, records: DataFrame) -> DataFrame:
         tasks = max(fewest, -(-entries // ENTRIES_A_TASK))
         # names are few bytes and make many keys: they are dealt anew
         packed = names.repartition(fewest).mapInArrow(_entries(kinds, often, min(tasks * PLACES_A_TASK, 1 << 16)), "place int, high long, data binary")
-        return swept(packed.repartition(tasks, "place").mapInArrow(_paired, "a long, b long"), "candidates")
+        return swept(packed.repartition(tasks, "place").mapInArrow(_paired(_near(kinds)), "a long, b long"), "candidates")
 
     found = spark.createDataFrame([], "a long, b long")
     for kinds, entries in _rounds(lengths):
